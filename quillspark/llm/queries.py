@@ -34,6 +34,13 @@ def p2_pieces(spark, sf_dir):
     return split_oversized(_read(spark, sf_dir, "pdf_text"))
 
 
+@_query
+def p6_found(spark, sf_dir):
+    from quillspark.llm.pairs import find_defects
+
+    return find_defects(_read(spark, sf_dir, "tap_chat_logs"))
+
+
 @_query
 def p7_found(spark, sf_dir):
     from quillspark.llm.conversations import session_states
