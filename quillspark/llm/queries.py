@@ -92,6 +92,20 @@ def p9_shares(spark, sf_dir):
     return actual_shares(mix(_read(spark, sf_dir, "documents"), targets), targets)
 
 
+@_query
+def p10_found(spark, sf_dir):
+    from quillspark.llm.stuffing import stuffed_pages
+
+    return stuffed_pages(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def p10_scores(spark, sf_dir):
+    from quillspark.llm.stuffing import page_scores
+
+    return page_scores(_read(spark, sf_dir, "documents")).select("doc_id", *(F.round(c, 4).alias(c) for c in ("density", "link_share", "repetition", "replicated")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
