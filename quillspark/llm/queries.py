@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+#: The similarity that the test data's statement of problem 4 names.
+P4_SIMILARITY = 0.75
 
 
 def _query(f: Query) -> Query:
@@ -34,6 +36,21 @@ def p2_pieces(spark, sf_dir):
     return split_oversized(_read(spark, sf_dir, "pdf_text"))
 
 
+@_query
+def p4_found(spark, sf_dir):
+    from quillspark.llm.nearcopies import all_pairs, near_copies
+
+    pairs = all_pairs(*near_copies(_read(spark, sf_dir, "device_memory"), "mem_id", "content", P4_SIMILARITY))
+    return pairs.select(F.col("a").alias("mem_id_a"), F.col("b").alias("mem_id_b"))
+
+
+@_query
+def p4_groups(spark, sf_dir):
+    from quillspark.llm.nearcopies import copy_groups, near_copies
+
+    return copy_groups(*near_copies(_read(spark, sf_dir, "device_memory"), "mem_id", "content", P4_SIMILARITY)).withColumnRenamed("k", "mem_id")
+
+
 @_query
 def p6_found(spark, sf_dir):
     from quillspark.llm.pairs import find_defects
@@ -111,6 +128,10 @@ def queries() -> dict[str, Query]:
 
 
 _SQL = {
+    "p4_found": r"""
+        WITH m AS (SELECT DISTINCT mem_id, list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM device_memory)
+        SELECT a.mem_id AS mem_id_a, b.mem_id AS mem_id_b FROM m a JOIN m b
+        ON a.mem_id < b.mem_id AND len(a.w) > 0 AND 4 * len(list_intersect(a.w, b.w)) >= 3 * len(list_distinct(list_concat(a.w, b.w)))""",
     "p2_found": "SELECT chunk_id FROM pdf_text WHERE length(content) > 1200",
     "p7_found": r"""
         WITH m AS (
