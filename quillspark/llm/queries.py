@@ -36,6 +36,20 @@ def p2_pieces(spark, sf_dir):
     return split_oversized(_read(spark, sf_dir, "pdf_text"))
 
 
+@_query
+def p3_found(spark, sf_dir):
+    from quillspark.llm.neighbours import nearest_neighbours, neighbour_pairs
+
+    return neighbour_pairs(nearest_neighbours(_read(spark, sf_dir, "langchain_vectors")))
+
+
+@_query
+def p3_neighbours(spark, sf_dir):
+    from quillspark.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "langchain_vectors")).withColumn("score", F.round("score", 4))
+
+
 @_query
 def p4_found(spark, sf_dir):
     from quillspark.llm.nearcopies import all_pairs, near_copies
