@@ -25,6 +25,7 @@ from quillspark.session import checkpointed
 THRESHOLD = 0.8
 #: Records under a path of words from which the path is lengthened, most words in a path, and bits of the table of hot paths.
 HOT, LEVELS, TABLE_BITS = 150, 4, 22
+_FLUSH = 50_000
 _MULTIPLY, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -72,7 +73,16 @@ def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: s
         tables = [np.unpackbits(np.frombuffer(x, "u1")).astype(bool) for x in hot]
         last = len(tables)
         for b in batches:
-            out: list[tuple] = []
+            out: list[list] = [[], [], [], [], []]
+            add = [x.append for x in out]
+            key = b.schema.field(0).type
+
+            def full() -> pa.RecordBatch:
+                batch = pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, (pa.int64(), key, pa.int32(), pa.int32(), pa.int32()))], names=["path", "r", "n", "level", "pos"])
+                for x in out:
+                    x.clear()
+                return batch
+
             for r, n, first, words in zip(*(b.column(i).to_pylist() for i in range(4))):
                 short = n - math.ceil(t * n - 1e-9)
                 todo = [(0, 0, 0)]  # path so far, words in it, index of the next word to try
@@ -84,9 +94,11 @@ def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: s
                         if goes_on:
                             todo.append((p, level + 1, i + 1))
                         if not goes_on and (level == last or not only_last):
-                            out.append((p - (1 << 63), r, n, level + 1, first + i + 1))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(cols, (pa.int64(), b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32()))], names=["path", "r", "n", "level", "pos"])
+                            for f, x in zip(add, (p - (1 << 63), r, n, level + 1, first + i + 1)):
+                                f(x)
+                if len(out[0]) >= _FLUSH:
+                    yield full()
+            yield full()
 
     return docs.mapInArrow(walk, f"path long, r {kind}, n int, level int, pos int")
 

@@ -65,6 +65,26 @@ def p4_groups(spark, sf_dir):
     return copy_groups(*near_copies(_read(spark, sf_dir, "device_memory"), "mem_id", "content", P4_SIMILARITY)).withColumnRenamed("k", "mem_id")
 
 
+def _labelled(spark, sf_dir):
+    from quillspark.llm.languages import labelled_records
+
+    return labelled_records({"device_memory": (_read(spark, sf_dir, "device_memory"), "mem_id"), "tap_knowledge_base": (_read(spark, sf_dir, "tap_knowledge_base"), "id")})
+
+
+@_query
+def p5_found(spark, sf_dir):
+    from quillspark.llm.languages import label_cases, segments
+
+    return label_cases(segments(_labelled(spark, sf_dir)))
+
+
+@_query
+def p5_segments(spark, sf_dir):
+    from quillspark.llm.languages import segments
+
+    return segments(_labelled(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4)).distinct()
+
+
 @_query
 def p6_found(spark, sf_dir):
     from quillspark.llm.pairs import find_defects
