@@ -2,16 +2,18 @@
 
 The words of each record are ordered by how few records hold them. Two records of n and m words at a Jaccard similarity
 of t or more share at least o = t / (1 + t) * (n + m) words, so their first l common words stand in prefixes of
-n - o + l and m - o + l words. With l = 1 the common words in a prefix bring in nearly everything; therefore the prefix
-is lengthened where it pays: the number of records under each word is counted, and where it is over ``HOT``, the word
-alone makes no candidates but only together with a second word from the prefix longer by one, then a third, up to
-``LEVELS``. Whether a path of words goes on is known alike to all records that hold it, so no pair is lost.
+n - o + l and m - o + l words. Records are put in classes of size, each ``STEP`` times the one before, and meet once for
+each pair of classes that can be similar, with the prefix that this pair needs. The prefix is lengthened where it pays:
+the number of records under each word of a pair of classes is counted, and where it is over ``HOT``, the word alone
+makes no candidates but only together with a second word from the prefix longer by one, then a third, up to ``LEVELS``.
+Whether a path of words goes on is known alike to all records that hold it, so no pair is lost.
 
 Records with the same words are one class, whose least key stands for it; only classes are compared.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from quillspark.session import checkpointed
 
 THRESHOLD = 0.8
 #: Records under a path of words from which the path is lengthened, most words in a path, and bits of the table of hot paths.
-HOT, LEVELS, TABLE_BITS = 150, 4, 22
+HOT, LEVELS, TABLE_BITS, STEP = 300, 3, 22, 1.1
 _FLUSH = 50_000
 _MULTIPLY, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -58,12 +60,35 @@ def _mixed(path: int, word: int) -> int:
     return x ^ (x >> 29)
 
 
-def _slot(path: int) -> int:
-    return path >> (64 - TABLE_BITS)
+@functools.cache
+def _floor(k: int) -> int:
+    """The least size in class k."""
+    return math.ceil(STEP**k - 1e-9)
+
+
+@functools.cache
+def meetings(n: int, t: float) -> tuple[tuple[int, int, int], ...]:
+    """(seed, side, spare) for each pair of size classes in which a record of n words can find similar ones.
+
+    side: 0 both in one class, 1 in the smaller, 2 in the larger; spare: n less the words that a pair shares at least.
+    """
+    k = 0
+    while _floor(k + 1) <= n:
+        k += 1
+    least, out, j = math.ceil(n * t - 1e-9), [], k
+    while j > 0 and _floor(j) > least:
+        j -= 1
+    while _floor(j) * t <= n + 1e-9:
+        if _floor(j + 1) > max(least, _floor(j)):  # the class isn't empty
+            shared = math.ceil((n + max(_floor(j), least)) * t / (1 + t) - 1e-9)
+            if n >= shared:
+                out.append((_mixed(1000 * min(j, k) + abs(j - k) + 1, 0), (j > k) + 2 * (j < k), n - shared))
+        j += 1
+    return tuple(out)
 
 
 def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: str) -> DataFrame:
-    """path, r, n, level, pos: the paths of words of each record.
+    """path, r, n, level, pos, side: the paths of words of each record, for each pair of size classes.
 
     hot[i] has a bit for each path of i + 1 words that goes on. only_last: those of len(hot) + 1 words, to be counted;
     else all at which a record stops.
@@ -73,34 +98,41 @@ def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: s
         tables = [np.unpackbits(np.frombuffer(x, "u1")).astype(bool) for x in hot]
         last = len(tables)
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            add = [x.append for x in out]
-            key = b.schema.field(0).type
+            out: list[list] = [[] for _ in range(6)]
+            add_path, add_r, add_n, add_level, add_pos, add_side = (x.append for x in out)
+            types = (pa.int64(), b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
             def full() -> pa.RecordBatch:
-                batch = pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, (pa.int64(), key, pa.int32(), pa.int32(), pa.int32()))], names=["path", "r", "n", "level", "pos"])
+                batch = pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, types)], names=["path", "r", "n", "level", "pos", "side"])
                 for x in out:
                     x.clear()
                 return batch
 
             for r, n, first, words in zip(*(b.column(i).to_pylist() for i in range(4))):
-                short = n - math.ceil(t * n - 1e-9)
-                todo = [(0, 0, 0)]  # path so far, words in it, index of the next word to try
-                while todo:
-                    path, level, start = todo.pop()
-                    for i in range(start, min(len(words), short + level + 1 - first)):
-                        p = _mixed(path, words[i])
-                        goes_on = level < last and tables[level][_slot(p)]
-                        if goes_on:
-                            todo.append((p, level + 1, i + 1))
-                        if not goes_on and (level == last or not only_last):
-                            for f, x in zip(add, (p - (1 << 63), r, n, level + 1, first + i + 1)):
-                                f(x)
+                many = len(words)
+                for seed, side, spare in meetings(n, t):
+                    todo = [(seed, 0, 0)]  # path so far, words in it, index of the next word to try
+                    while todo:
+                        path, level, start = todo.pop()
+                        for i in range(start, min(many, spare + level + 1 - first)):
+                            p = _mixed(path, words[i])
+                            if level < last:
+                                if tables[level][p >> (64 - TABLE_BITS)]:
+                                    todo.append((p, level + 1, i + 1))
+                                    continue
+                                if only_last:
+                                    continue
+                            add_path(p - (1 << 63))
+                            add_r(r)
+                            add_n(n)
+                            add_level(level + 1)
+                            add_pos(first + i + 1)
+                            add_side(side)
                 if len(out[0]) >= _FLUSH:
                     yield full()
             yield full()
 
-    return docs.mapInArrow(walk, f"path long, r {kind}, n int, level int, pos int")
+    return docs.mapInArrow(walk, f"path long, r {kind}, n int, level int, pos int, side int")
 
 
 def similar_classes(reps: DataFrame, t: float = THRESHOLD, hot_from: int = HOT, levels: int = LEVELS) -> DataFrame:
@@ -123,14 +155,15 @@ def similar_classes(reps: DataFrame, t: float = THRESHOLD, hot_from: int = HOT,
         bits[[r.s for r in slots]] = 1
         hot.append(np.packbits(bits).tobytes())
     paths = _paths(docs, hot, t, False, kind)
-    a = paths.select("path", F.col("r").alias("a"), F.col("n").alias("na"), "level", F.col("pos").alias("pa"))
-    b = paths.select("path", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    a = paths.where("side < 2").select("path", F.col("r").alias("a"), F.col("n").alias("na"), "level", F.col("pos").alias("pa"), "side")
+    b = paths.where("side <> 1").select("path", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("side").alias("other"))
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     near = (
-        (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9)
+        F.when(F.col("side") == 0, (F.col("other") == 0) & (F.col("a") < F.col("b"))).otherwise(F.col("other") == 2)
+        & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9)
         & (F.col("level") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
     )
-    pairs = a.join(b, "path").where(near).select("a", "b").distinct()
+    pairs = a.join(b, "path").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = reps.select(F.col("r").alias("a"), F.col("h").alias("ha"))
     right = reps.select(F.col("r").alias("b"), F.col("h").alias("hb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("n"))
