@@ -22,6 +22,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@_query
+def p1_found(spark, sf_dir):
+    from quillspark.llm.scans import repaired
+
+    return repaired(_read(spark, sf_dir, "pdf_text")).select("chunk_id", F.explode("defects").alias("defect")).distinct()
+
+
+@_query
+def p1_repaired(spark, sf_dir):
+    from quillspark.llm.scans import repaired
+
+    return repaired(_read(spark, sf_dir, "pdf_text")).select("chunk_id", "content")
+
+
 @_query
 def p2_found(spark, sf_dir):
     from quillspark.llm.chunking import split_oversized
