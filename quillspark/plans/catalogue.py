@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import relational
+from quillspark.plans import relational, scalars
 
-MODULES = (relational,)
+MODULES = (relational, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
