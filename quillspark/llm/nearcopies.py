@@ -8,6 +8,9 @@ the number of records under each word of a pair of classes is counted, and where
 makes no candidates but only together with a second word from the prefix longer by one, then a third, up to ``LEVELS``.
 Whether a path of words goes on is known alike to all records that hold it, so no pair is lost.
 
+Before words are compared, a signature of 128 bits per record prunes the candidates: each word flips one bit, so two
+records differ in at least as many words as their signatures do in bits.
+
 Records with the same words are one class, whose least key stands for it; only classes are compared.
 """
 
@@ -47,12 +50,13 @@ def word_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ordered(reps: DataFrame, t: float, levels: int) -> DataFrame:
-    """r, n, first (position of the first word that another record holds) and the words from there to the longest prefix."""
-    each = reps.select("r", F.size("h").alias("n"), F.explode("h").alias("w"))
+    """r, n, first (position of the first word that another record holds), the words from there to the longest prefix, and the signature s, z."""
+    flip = lambda shift: F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
+    each = reps.select("r", F.size("h").alias("n"), flip(0).alias("s"), flip(6).alias("z"), F.explode("h").alias("w"))
     held = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     keep = F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + levels
-    words = each.join(held, "w").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("x"))
-    return words.select("r", "n", (F.col("n") - F.size("x")).alias("first"), F.slice(F.transform("x", lambda y: y.w), F.lit(1), F.greatest(keep - (F.col("n") - F.size("x")), F.lit(0))).alias("w"))
+    words = each.join(held, "w").groupBy("r", "n", "s", "z").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("x"))
+    return words.select("r", "n", (F.col("n") - F.size("x")).alias("first"), F.slice(F.transform("x", lambda y: y.w), F.lit(1), F.greatest(keep - (F.col("n") - F.size("x")), F.lit(0))).alias("w"), "s", "z")
 
 
 def _mixed(path: int, word: int) -> int:
@@ -88,7 +92,7 @@ def meetings(n: int, t: float) -> tuple[tuple[int, int, int], ...]:
 
 
 def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: str) -> DataFrame:
-    """path, r, n, level, pos, side: the paths of words of each record, for each pair of size classes.
+    """path, r, n, level, pos, side, s, z: the paths of words of each record, for each pair of size classes.
 
     hot[i] has a bit for each path of i + 1 words that goes on. only_last: those of len(hot) + 1 words, to be counted;
     else all at which a record stops.
@@ -98,17 +102,19 @@ def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: s
         tables = [np.unpackbits(np.frombuffer(x, "u1")).astype(bool) for x in hot]
         last = len(tables)
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            add_path, add_r, add_n, add_level, add_pos, add_side = (x.append for x in out)
-            types = (pa.int64(), b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            out: list[list] = [[] for _ in range(5)]
+            add_path, add_doc, add_level, add_pos, add_side = (x.append for x in out)
 
             def full() -> pa.RecordBatch:
-                batch = pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, types)], names=["path", "r", "n", "level", "pos", "side"])
+                doc = pa.array(out[1], pa.int32())
+                own = [b.column(i).take(doc) for i in (0, 1, 4, 5)]
+                path, level, pos, side = (pa.array(out[i], y) for i, y in ((0, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32())))
+                batch = pa.RecordBatch.from_arrays([path, own[0], own[1], level, pos, side, own[2], own[3]], names=["path", "r", "n", "level", "pos", "side", "s", "z"])
                 for x in out:
                     x.clear()
                 return batch
 
-            for r, n, first, words in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for doc, (n, first, words) in enumerate(zip(*(b.column(i).to_pylist() for i in range(1, 4)))):
                 many = len(words)
                 for seed, side, spare in meetings(n, t):
                     todo = [(seed, 0, 0)]  # path so far, words in it, index of the next word to try
@@ -123,8 +129,7 @@ def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: s
                                 if only_last:
                                     continue
                             add_path(p - (1 << 63))
-                            add_r(r)
-                            add_n(n)
+                            add_doc(doc)
                             add_level(level + 1)
                             add_pos(first + i + 1)
                             add_side(side)
@@ -132,7 +137,7 @@ def _paths(docs: DataFrame, hot: list[bytes], t: float, only_last: bool, kind: s
                     yield full()
             yield full()
 
-    return docs.mapInArrow(walk, f"path long, r {kind}, n int, level int, pos int, side int")
+    return docs.mapInArrow(walk, f"path long, r {kind}, n int, level int, pos int, side int, s long, z long")
 
 
 def similar_classes(reps: DataFrame, t: float = THRESHOLD, hot_from: int = HOT, levels: int = LEVELS) -> DataFrame:
@@ -155,13 +160,14 @@ def similar_classes(reps: DataFrame, t: float = THRESHOLD, hot_from: int = HOT,
         bits[[r.s for r in slots]] = 1
         hot.append(np.packbits(bits).tobytes())
     paths = _paths(docs, hot, t, False, kind)
-    a = paths.where("side < 2").select("path", F.col("r").alias("a"), F.col("n").alias("na"), "level", F.col("pos").alias("pa"), "side")
-    b = paths.where("side <> 1").select("path", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("side").alias("other"))
+    a = paths.where("side < 2").select("path", F.col("r").alias("a"), F.col("n").alias("na"), "level", F.col("pos").alias("pa"), "side", F.col("s").alias("sa"), F.col("z").alias("za"))
+    b = paths.where("side <> 1").select("path", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("side").alias("other"), F.col("s").alias("sb"), F.col("z").alias("zb"))
     need = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
     near = (
         F.when(F.col("side") == 0, (F.col("other") == 0) & (F.col("a") < F.col("b"))).otherwise(F.col("other") == 2)
         & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9)
         & (F.col("level") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+        & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("za").bitwiseXOR(F.col("zb"))) <= F.col("na") + F.col("nb") - 2 * need)
     )
     pairs = a.join(b, "path").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = reps.select(F.col("r").alias("a"), F.col("h").alias("ha"))
