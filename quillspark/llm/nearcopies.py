@@ -8,8 +8,8 @@ the number of records under each word of a pair of classes is counted, and where
 makes no candidates but only together with a second word from the prefix longer by one, then a third, up to ``LEVELS``.
 Whether a path of words goes on is known alike to all records that hold it, so no pair is lost.
 
-Before words are compared, a signature of 128 bits per record prunes the candidates: each word flips one bit, so two
-records differ in at least as many words as their signatures do in bits.
+Before words are compared, two signatures of 64 bits per record prune the candidates: each word flips one bit of each, so
+two records differ in at least as many words as either signature does in bits.
 
 Records with the same words are one class, whose least key stands for it; only classes are compared.
 """
@@ -50,7 +50,7 @@ def word_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ordered(reps: DataFrame, t: float, levels: int) -> DataFrame:
-    """r, n, first (position of the first word that another record holds), the words from there to the longest prefix, and the signature s, z."""
+    """r, n, first (position of the first word that another record holds), the words from there to the longest prefix, and the signatures s and z."""
     flip = lambda shift: F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63)).cast("int"))))
     each = reps.select("r", F.size("h").alias("n"), flip(0).alias("s"), flip(6).alias("z"), F.explode("h").alias("w"))
     held = each.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -167,7 +167,7 @@ def similar_classes(reps: DataFrame, t: float = THRESHOLD, hot_from: int = HOT,
         F.when(F.col("side") == 0, (F.col("other") == 0) & (F.col("a") < F.col("b"))).otherwise(F.col("other") == 2)
         & (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9)
         & (F.col("level") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
-        & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("za").bitwiseXOR(F.col("zb"))) <= F.col("na") + F.col("nb") - 2 * need)
+        & (F.greatest(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))), F.bit_count(F.col("za").bitwiseXOR(F.col("zb")))) <= F.col("na") + F.col("nb") - 2 * need)
     )
     pairs = a.join(b, "path").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = reps.select(F.col("r").alias("a"), F.col("h").alias("ha"))
