@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import relational, retrieval, scalars
+from quillspark.plans import graphs, relational, retrieval, scalars
 
-MODULES = (relational, scalars, retrieval)
+MODULES = (relational, scalars, retrieval, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
