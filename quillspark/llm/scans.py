@@ -40,9 +40,10 @@ DIVIDERS = "-‐‑­¬"
 _SEEN: dict[str, list[str]] = {}
 for _m, _s in CONFUSIONS:
     _SEEN.setdefault(_s, []).append(_m)
-_TRIM = r"^[^\p{L}\p{N}@|$!]+|[^\p{L}\p{N}@|$]+$"
-_TRIM_PY = re.compile(r"^[^\w@|$!]+|[^\w@|$]+$")
-_DIVIDED = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{DIVIDERS}]) ?\n[ \t]*([^\W\d_]+)")
+# Each run is tried from its start only, so that a very long text without blanks takes linear time.
+_TRIM = r"^[^\p{L}\p{N}@|$!]+|(?<![^\p{L}\p{N}@|$])[^\p{L}\p{N}@|$]+$"
+_TRIM_PY = re.compile(r"^[^\w@|$!]+|(?<![^\w@|$])[^\w@|$]+$")
+_DIVIDED = re.compile(rf"(?<![^\W_])([^\W_]+(?:-[^\W_]+)*)([{DIVIDERS}]) ?\n[ \t]*([^\W\d_]+)")
 _CODE = re.compile(r"^(?:[a-z]{1,3}-?)?[\d.,:/%+-]+$")
 _PAGE = re.compile(rf"^[\W_]*(?:(?:{PAGE_WORDS})\b\.?\s*)?([0-9ivxlc]{{1,6}}|[0-9oils|!bszq]{{1,4}})(?:\s*(?:/|\||{OF_WORDS})\s*[0-9]{{1,5}})?[\W_]*$", re.I)
 _ROMAN = (("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
@@ -94,7 +95,7 @@ def running_heads(df: DataFrame) -> DataFrame:
 
 def _words(content: Column) -> Column:
     """The words of a text in lower case; parts of divided words are left out."""
-    whole = F.regexp_replace(content, rf"[^\s]+[{DIVIDERS}] ?\n[ \t]*[^\s]+", " \u0000 ")
+    whole = F.regexp_replace(content, rf"(?<!\S)\S+[{DIVIDERS}] ?\n[ \t]*[^\s]+", " \u0000 ")
     return F.transform(F.filter(F.split(F.lower(whole), r"\s+"), lambda x: x != ""), lambda x: F.regexp_replace(x, _TRIM, ""))
 
 
