@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import graphs, relational, retrieval, scalars
+from quillspark.plans import graphs, relational, retrieval, scalars, stateful
 
-MODULES = (relational, scalars, retrieval, graphs)
+MODULES = (relational, scalars, retrieval, graphs, stateful)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
