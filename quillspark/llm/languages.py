@@ -214,8 +214,8 @@ def fit(texts: list[str], labels: list[str]) -> Models:
     return models
 
 
-def fit_sample(records: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_CHARS) -> Models:
-    """fit on at most rows labelled rows of records (tbl, rec_id, label, content), chosen by a hash, none longer than most."""
+def fit_sample(records: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_CHARS) -> Models | None:
+    """None without any labelled row; else fit on at most rows labelled rows of records (tbl, rec_id, label, content), chosen by a hash, none longer than most."""
     spellings = sorted(_LABEL)
     base = F.element_at(F.split(F.lower(F.trim("label")), r"[-_\s]"), 1)
     labelled = records.where(base.isin(spellings) & F.char_length("content").between(20, most))
@@ -224,7 +224,7 @@ def fit_sample(records: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_C
     picked = labelled.where(F.pmod(F.xxhash64("tbl", "rec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("rec_id", "label", "content").limit(rows).collect()
     known = sorted((r.rec_id, r.content, lab) for r in picked if (lab := label_of(r.label)))
     if not known:
-        raise ValueError("there is no labelled row to fit the language models on")
+        return None
     return fit([x[1] for x in known], [x[2] for x in known])
 
 
@@ -241,7 +241,8 @@ def segments(records: DataFrame) -> DataFrame:
     """tbl, rec_id, label, segment, start, end, lang, confidence: runs of sentences in one language.
 
     Rejected sentences join the segment around them; a record of such sentences only is judged as a whole, and gives one
-    row with null lang if that is undecided too. Null and blank contents give such a row too. Offsets count characters. Keys stored twice give their rows twice.
+    row with null lang if that is undecided too. Null and blank contents give such a row too. Offsets count characters. Without any labelled
+    row every lang is null. Keys stored twice give their rows twice.
     """
     models = pickle.dumps(fit_sample(records))
 
@@ -251,11 +252,11 @@ def segments(records: DataFrame) -> DataFrame:
             texts = [t or "" for t in b.column(3).to_pylist()]
             spans = [sentences(t) for t in texts]
             flat = [letters_of(t[a:e]) for t, own in zip(texts, spans) for a, e in own]
-            decided = m.decide(flat)
+            decided = m.decide(flat) if m else [(-1, 0.0)] * len(flat)
             ends = np.cumsum([len(x) for x in spans])
             starts = ends - [len(x) for x in spans]
             blank = [i for i in range(len(texts)) if starts[i] < ends[i] and all(decided[j][0] < 0 for j in range(starts[i], ends[i]))]
-            for i, d in zip(blank, m.decide([" ".join(flat[starts[i] : ends[i]]) for i in blank], alone=True)):
+            for i, d in zip(blank, m.decide([" ".join(flat[starts[i] : ends[i]]) for i in blank], alone=True) if m else ()):
                 decided[starts[i] : ends[i]] = [d] * (ends[i] - starts[i])
             said = iter(decided)
             out: list[tuple] = []
