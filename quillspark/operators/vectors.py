@@ -40,7 +40,7 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     """Within -1..1; 0 for vectors of unequal length, empty, zero, null or not finite ones."""
     a, b = _c(a), _c(b)
     value = dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
-    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & ~F.isnan(value)
+    usable = value.isNotNull() & (F.size(a) == F.size(b)) & (F.size(a) > 0) & ~F.isnan(value)
     return F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).otherwise(F.lit(0.0)).cast("double")
 
 
