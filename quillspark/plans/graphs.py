@@ -92,6 +92,12 @@ def graph_components(spark, sf_dir):
     return algorithms.components(g.nodes.where(F.col("id") < SUPPLIER), g.edges.where(F.col("src") < SUPPLIER))
 
 
+@add()
+def graph_components_whole(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return algorithms.components(g.nodes, g.edges)
+
+
 @add()
 def graph_betweenness(spark, sf_dir):
     return algorithms.betweenness(_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))

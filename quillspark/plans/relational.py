@@ -78,6 +78,10 @@ sql("star_join", """
     FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
     WHERE p_size < 20 GROUP BY n_name, p_brand""", "lineitem part supplier nation")
 
+# The same joins over all ids.
+sql("join_full_whole", "SELECT a.id AS ida, b.mem_id AS idb FROM (SELECT DISTINCT id FROM {tap_knowledge_base}) a FULL JOIN (SELECT DISTINCT mem_id FROM {device_memory}) b ON a.id = b.mem_id", "tap_knowledge_base device_memory")
+sql("join_null_keys_whole", "SELECT a.id AS ida, b.id AS idb FROM (SELECT DISTINCT id, category FROM {tap_knowledge_base}) a JOIN (SELECT DISTINCT id, category FROM {tap_knowledge_base}) b ON a.category = b.category", "tap_knowledge_base")
+
 # Semi and anti joins, scalar subqueries.
 sql("semi_exists", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "customer orders")
 sql("anti_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", "customer orders")
@@ -103,17 +107,32 @@ sql("set_intersect", "SELECT c_nationkey AS k FROM {customer} WHERE c_custkey <
 sql("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT c_nationkey FROM {customer} WHERE c_custkey < 30", "nation customer")
 
 
-@add("((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
-def compound_left_deep(spark, sf_dir):
-    nation, region, customer, supplier = (read(spark, sf_dir, t) for t in ("nation", "region", "customer", "supplier"))
+def _compound(spark, sf_dir, supplier):
+    nation, region, customer = (read(spark, sf_dir, t) for t in ("nation", "region", "customer"))
     return setops.compound(
         nation.select(F.col("n_nationkey").alias("k")),
         ("union", region.select((F.col("r_regionkey") + 100).alias("k"))),
         ("intersect", customer.select(F.col("c_nationkey").alias("k"))),
-        ("except", supplier.where("s_suppkey < 20").select(F.col("s_nationkey").alias("k"))),
+        ("except", supplier.select(F.col("s_nationkey").alias("k"))),
     )
 
 
+@add("((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+def compound_left_deep(spark, sf_dir):
+    return _compound(spark, sf_dir, read(spark, sf_dir, "supplier").where("s_suppkey < 20"))
+
+
+# The same set operations over whole tables.
+sql("set_union_all_whole", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}", "customer supplier")
+sql("set_intersect_whole", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", "customer supplier")
+sql("set_except_whole", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT c_nationkey FROM {customer}", "nation customer")
+
+
+@add("((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT s_nationkey FROM supplier")
+def compound_left_deep_whole(spark, sf_dir):
+    return _compound(spark, sf_dir, read(spark, sf_dir, "supplier"))
+
+
 # Common table expressions.
 sql("cte_chain", "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS t FROM {orders} GROUP BY o_custkey), b AS (SELECT avg(t) AS m FROM a) SELECT k, round(t, 2) AS t FROM a, b WHERE t > 1.5 * m", "orders")
 sql("cte_columns", "WITH a(x, y) AS (SELECT r_regionkey, r_name FROM {region}) SELECT y, x FROM a WHERE x > 1", "region")
