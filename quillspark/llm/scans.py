@@ -126,7 +126,11 @@ def _is_mixed(word: str) -> bool:
 
 
 def word_readings(counts: DataFrame) -> DataFrame:
-    """w, reading, seen (confusions undone, as text), n_w, n: readings in the collection of the words that may be misread."""
+    """w, reading, seen (confusions undone, as text), n_w, n, firm: readings in the collection of the words that may be misread.
+
+    firm: the word's count is a small share of the reading's. Other readings of plain words count only where their
+    neighbours speak for them.
+    """
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +147,7 @@ def word_readings(counts: DataFrame) -> DataFrame:
     guesses = counts.mapInArrow(guess, "w string, reading string, seen string, n_w long")
     known = counts.select(F.col("w").alias("reading"), "n")
     share = F.when(F.col("w").rlike(r"[^\p{L}'’-]"), MIXED_SHARE).otherwise(PLAIN_SHARE)
-    return guesses.join(known, "reading").where(F.col("n_w") <= F.col("n") * share)
+    return guesses.join(known, "reading").withColumn("firm", F.col("n_w") <= F.col("n") * share).where(F.col("firm") | ~F.col("w").rlike(r"[^\p{L}'’-]"))
 
 
 def _lattices(text: str, fixes: dict[str, list]) -> Iterator[tuple[list[str], list[str], list[list[str]]]]:
@@ -168,26 +172,51 @@ def _needs(text: str, fixes: dict[str, list]) -> set[str]:
     return out
 
 
+def _supported(words: list[str], options: list[list[str]], fixes: dict[str, list], counts: dict[str, int]) -> tuple[list[list[str]], set[int]]:
+    """options without the readings that aren't firm and that no neighbour supports; the places where one of those stays.
+
+    A neighbour supports it if it stands next to the reading elsewhere and nowhere else next to the word.
+    """
+    out, places = [], set()
+    for i, (w, opts) in enumerate(zip(words, options)):
+        doubtful = {r for r, _, _, _, firm in fixes.get(w, ()) if not firm}
+        if doubtful:
+            around = lambda x: sum(counts.get(k, 0) for k in ([f"{words[i - 1]} {x}"] if i else []) + ([f"{x} {words[i + 1]}"] if i + 1 < len(words) else []))  # noqa: B023, E731
+            alone = around(w) <= (i > 0) + (i + 1 < len(words))
+            kept = {r for r in doubtful if alone and around(r) > 0}
+            opts = [r for r in opts if r not in doubtful or r in kept]
+            if kept:
+                places.add(i)
+        out.append(opts)
+    return out, places
+
+
 def correct_line(words: list[str], options: list[list[str]], fixes: dict[str, list], counts: dict[str, int], total: float) -> list[str]:
     """The likeliest reading of each word of a line, by Viterbi's algorithm over the candidates."""
 
-    def own(w: str, r: str) -> float:
+    options, doubtful = _supported(words, options, fixes, counts)
+
+    def own(i: int, r: str) -> float:
+        w = words[i]
         if w not in fixes:
             return 0.0
         rows = fixes[w]
         if r == w:
-            n = rows[0][3]
-            real = 0.05 if _is_mixed(w) else max(0.1, n - PLAIN_SHARE / 2 * max(x[2] for x in rows))
+            if i in doubtful:  # without this one
+                return math.log(max(0.1, rows[0][3] - 1 - PLAIN_SHARE / 2 * max(x[2] for x in rows)) / total)
+            firm = [x[2] for x in rows if x[4]]
+            real = 0.05 if _is_mixed(w) else max(0.1, rows[0][3] - PLAIN_SHARE / 2 * max(firm, default=0))
             return math.log(real / total)
         cost, n = next((x[1], x[2]) for x in rows if x[0] == r)
         return math.log(n / total) + cost
 
-    def link(a: str, b: str) -> float:
-        return math.log(1 + 8.0 * counts.get(f"{a} {b}", 0))
+    def link(i: int, a: str, b: str) -> float:
+        own_pair = (i in doubtful or i - 1 in doubtful) and a == words[i - 1] and b == words[i]
+        return math.log(1 + 8.0 * max(0, counts.get(f"{a} {b}", 0) - own_pair))
 
-    best = {r: (own(words[0], r), [r]) for r in options[0]}
-    for w, opts in zip(words[1:], options[1:]):
-        best = {r: max((s + link(p, r) * 0.5 + own(w, r), [*path, r]) for p, (s, path) in best.items()) for r in opts}
+    best = {r: (own(0, r), [r]) for r in options[0]}
+    for i, opts in enumerate(options[1:], 1):
+        best = {r: max((s + link(i, p, r) * 0.5 + own(i, r), [*path, r]) for p, (s, path) in best.items()) for r in opts}
     return max(best.values())[1]
 
 
@@ -263,15 +292,15 @@ def repaired(df: DataFrame) -> DataFrame:
 
     readings = checkpointed(word_readings(single))
     # The chance of each confusion: how often it explains a word, among the characters that it could have struck.
-    struck = readings.where("instr(seen, ' ') = 0").groupBy("seen").agg(F.sum("n_w").alias("hits"), F.sum("n").alias("of")).collect()  # one row a confusion
+    struck = readings.where("firm and instr(seen, ' ') = 0").groupBy("seen").agg(F.sum("n_w").alias("hits"), F.sum("n").alias("of")).collect()  # one row a confusion
     chance = {r.seen: min(0.2, max(PRIOR / 10, r.hits / (r.of + 1))) for r in struck}
     cost = F.aggregate(F.transform(F.split("seen", " "), lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for p in (chance | {"": 1.0}).items() for y in (p[0], math.log(p[1]))]), x), F.lit(math.log(PRIOR)))), F.lit(0.0), lambda a, b: a + b)
-    by_word = readings.select("w", F.struct("reading", cost.alias("cost"), "n", "n_w").alias("r")).groupBy("w").agg(F.collect_list("r").alias("r"))
+    by_word = readings.select("w", F.struct("reading", cost.alias("cost"), "n", "n_w", "firm").alias("r")).groupBy("w").agg(F.collect_list("r").alias("r"))
     fixes = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("w")).join(by_word, "w").groupBy("chunk_id").agg(F.collect_list(F.struct("w", "r")).alias("fixes"))
     fixes = checkpointed(fixes)
 
     def unpack(col: list | None) -> dict[str, list]:
-        return {x["w"]: [(y["reading"], y["cost"], y["n"], y["n_w"]) for y in x["r"]] for x in col or ()}
+        return {x["w"]: [(y["reading"], y["cost"], y["n"], y["n_w"], y["firm"]) for y in x["r"]] for x in col or ()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

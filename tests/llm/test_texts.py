@@ -41,6 +41,13 @@ def test_readings_undo_several_confusions():
     assert "calibration" in scans.readings_of("ca1ibrafion") and "sheet" in scans.readings_of("slieet") and "until" in scans.readings_of("iintil")
 
 
+def test_misread_words_that_are_rare_in_the_collection(spark):
+    texts = ["The alimentation of the pump is new.", "Check the alimentation of the valve.", "Her alimentation of the belt.", "Check the alirnentation of the belt.", "We saw a modern engine.", "Our new modem works well."]
+    out = {r.chunk_id: r for r in scans.repaired(spark.createDataFrame([(i, "s", i + 1, 0, None, t, 0, "x", "y") for i, t in enumerate(texts)], PDF)).collect()}
+    assert out[3].content == "Check the alimentation of the belt." and out[3].defects == ["misread"]
+    assert all(out[i].content == texts[i] and out[i].defects == [] for i in (0, 1, 2, 4, 5))
+
+
 # Problem 2.
 def test_pieces_cover_the_text_within_the_limit():
     rng = random.Random(5)
