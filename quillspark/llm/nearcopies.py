@@ -196,6 +196,13 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def copy_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per record: k, class_id, links (how many other classes its class is linked to)."""
+    """One row per record: k, class_id, links (how many other classes its class is linked to), group_id.
+
+    group_id is the least key among all records that links join to the record, directly or over others.
+    """
+    from quillspark.graph.algorithms import components
+
+    links = checkpointed(links.select("a", "b"))
     ends = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-    return members.join(ends, "rep", "left").select("k", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    groups = components(members.select(F.col("rep").alias("id")), links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
+    return members.join(ends, "rep", "left").join(groups, "rep").select("k", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), "group_id")

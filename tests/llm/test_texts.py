@@ -101,6 +101,16 @@ def test_near_copies_match_brute_force(spark):
     assert nearcopies.all_pairs(*nearcopies.near_copies(df.limit(0), "mem_id", "content")).count() == 0
 
 
+def test_groups_join_copies_over_other_copies(spark):
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join([*(f"x{j}" for j in range(k)), *base[k:]]) for k in range(0, 8, 2)]  # each is near the one before only
+    texts += ["other words stand here", "here stand other words", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "mem_id long, content string")
+    got = {r.k: r for r in nearcopies.copy_groups(*nearcopies.near_copies(df, "mem_id", "content", 0.75)).collect()}
+    assert {k: r.group_id for k, r in got.items()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6}
+    assert [got[k].class_id for k in range(7)] == [0, 1, 2, 3, 4, 4, 6] and [got[k].links for k in range(7)] == [1, 2, 2, 1, 0, 0, 0]
+
+
 # Problem 5.
 EN = ["The sensor reports a warning whenever the pump vibrates.", "Store the index in the table and commit the batch.", "Before closing the cover, check the filter and note the reading.", "Two screws hold the plate against the frame of the pump."]
 DE = ["Bei hoher Last muss die Pumpe geprüft und notiert werden.", "Nach jedem Import bleibt die Klappe geschlossen, solange die Anlage arbeitet.", "Zwei Schrauben halten das Gehäuse am Rahmen der Pumpe.", "Der Index wird neben der Tabelle gespeichert und danach gelöscht."]
