@@ -16,6 +16,7 @@ pass without a shuffle but the last, which settles repeated keys.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 import unicodedata
@@ -74,6 +75,7 @@ _TOKEN = re.compile(r"[^\W_]+(?:[-_./'’·][^\W_]+)*|[.!?…。！？]+|[,;:()]
 _END = re.compile(r"[.!?…。！？]['\"»”’)\]*_`]*$")
 _SPACE, _LETTERS = re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]{3}")
 _MARK = re.compile(r"^[.!?…。！？]")
+_BREAK, _LETTER = re.compile(r"(?<=[.!?])\s+|\n+"), re.compile(r"\w")
 #: Novel bytes up to which a reply is a copy.
 COPY_BYTES = 18
 #: A reply whose chance to end there is under this is truncated.
@@ -130,12 +132,19 @@ def is_copy(prompt: str | None, reply: str) -> bool:
 
 
 def is_refusal(reply: str) -> bool:
-    """True if every sentence after the greeting is a refusal; a contact hint after a semicolon or comma belongs to it."""
-    if len(reply) > 400:
-        return False
-    core = GREETING.sub("", reply.strip().replace("’", "'"))
-    parts = [s for s in re.split(r"(?<=[.!?])\s+|\n+", core) if re.search(r"\w", s)]
-    return bool(parts) and all(REFUSAL.search(s) for s in parts)
+    """True if every sentence after the greeting is a refusal; a contact hint after a semicolon or comma belongs to it.
+
+    The first sentence that isn't one ends the search, so long replies of another kind are cheap.
+    """
+    core = GREETING.sub("", reply.strip().replace("’", "'"), count=1)
+    at, any_part = 0, False
+    for end, start in itertools.chain((m.span() for m in _BREAK.finditer(core)), [(len(core), len(core))]):
+        if _LETTER.search(core, at, end):
+            any_part = True
+            if not REFUSAL.search(core, at, end):
+                return False
+        at = start
+    return any_part
 
 
 class Languages:
@@ -294,7 +303,7 @@ def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", r
     """One row per defective pair: key, defect. A key stored several times is judged by its first arrival (ties: smaller hash).
 
     A null reply is empty; a null prompt leaves only empty, refusal and truncated; is_safe null is taken as not safe.
-    Texts of any length are judged whole, but a refusal has at most 400 characters.
+    Texts of any length are judged whole.
     """
     import pickle
 

@@ -170,6 +170,12 @@ def test_pair_defects(spark):
     assert pairs.find_defects(df.limit(0)).count() == 0
 
 
+def test_long_refusals():
+    long = "Hello! " + "I cannot help with that request, whatever the reason given. I must decline to go on with this topic. " * 8
+    assert len(long) > 800 and pairs.is_refusal(long)
+    assert not pairs.is_refusal(long + "The pump is in the cellar.") and not pairs.is_refusal("...\n") and not pairs.is_refusal("x " * 500_000 + "I cannot help.\nYes.")
+
+
 # Problem 8.
 def test_packing_is_tight_and_complete(spark):
     rng = random.Random(2)
