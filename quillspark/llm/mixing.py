@@ -53,26 +53,30 @@ def _slot(level: int) -> Column:
     return F.shiftright(F.col("h"), 60 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """One row per document used: source, doc_id, tokens, repeats (1 to the source's max_repeats).
+def mixture_plan(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, dict[str, list]]:
+    """The tokens of the listed documents with their hash h, and the plan.
 
-    Each source's tokens times repeats are as near its budget from below as one document allows, or all it has if it is
-    short. An empty text is used like its bucket. Equal doc_ids are used alike.
+    The plan has by source: times all its documents are used, tokens still to use, the hash below which documents are
+    used once more, and whether the source is short. The histogram of the first level tells the budgets, too.
     """
     spark = documents.sparkSession
     tokens = checkpointed(listed_tokens(documents, targets, path)).withColumn("h", F.xxhash64("source", "doc_id").bitwiseAND(F.lit((1 << 60) - 1)))
-    plan = {}
-    for r in source_budgets(tokens, targets).collect():  # one row a listed source
+    first = checkpointed(tokens.groupBy("source", _slot(0).alias("slot")).agg(F.sum("tokens").alias("tokens")))
+    plan: dict[str, list] = {}
+    for r in source_budgets(first, targets).collect():  # one row a listed source
         whole = min(int(r.budget // r.available) if r.available else 0, r.max_repeats)
         rest = r.budget - whole * r.available if whole < r.max_repeats else 0.0
-        plan[r.source] = [whole, rest, 0]  # times all are used; tokens still to use; hashes below this are used once more
+        plan[r.source] = [whole, rest, 0, r.short]
     open_ = {s: 0 for s, p in plan.items() if p[1] > 0}  # source: prefix of its boundary bucket
     for level in range(LEVELS):
         if not open_:
             break
         bounds = spark.createDataFrame([(s, int(x)) for s, x in open_.items()], "source string, prefix long")
-        inside = tokens.join(F.broadcast(bounds), "source").where(F.shiftright("h", 60 - BITS * level) == F.col("prefix"))  # bounds: one row a source
-        counts = inside.groupBy("source", _slot(level).alias("slot")).agg(F.sum("tokens").alias("t"))
+        if level:
+            inside = tokens.join(F.broadcast(bounds), "source").where(F.shiftright("h", 60 - BITS * level) == F.col("prefix"))  # bounds: one row a source
+            counts = inside.groupBy("source", _slot(level).alias("slot")).agg(F.sum("tokens").alias("t"))
+        else:
+            counts = first.join(F.broadcast(bounds), "source").select("source", "slot", F.col("tokens").alias("t"))
         rows: dict[str, list] = {}
         for r in counts.collect():  # at most 1,024 rows a source
             rows.setdefault(r.source, []).append((r.slot, r.t))
@@ -89,6 +93,23 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> Dat
             else:
                 plan[s][2] = boundary << step
                 open_[s] = boundary
+    return tokens, plan
+
+
+def short_sources(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """source of each short source of the mixture, from its plan."""
+    plan = mixture_plan(documents, targets, path)[1]
+    return documents.sparkSession.createDataFrame([(s,) for s, p in plan.items() if p[3]], "source string")
+
+
+def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """One row per document used: source, doc_id, tokens, repeats (1 to the source's max_repeats).
+
+    Each source's tokens times repeats are as near its budget from below as one document allows, or all it has if it is
+    short. An empty text is used like its bucket. Equal doc_ids are used alike.
+    """
+    spark = documents.sparkSession
+    tokens, plan = mixture_plan(documents, targets, path)
     chosen = spark.createDataFrame([(s, p[0], int(p[2])) for s, p in plan.items()] or [("", 0, 0)], "source string, whole long, below long")
     used = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     return tokens.join(F.broadcast(chosen), "source").select("source", "doc_id", "tokens", used.alias("repeats")).where("repeats > 0")

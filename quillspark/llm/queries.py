@@ -136,10 +136,9 @@ def p8_containers(spark, sf_dir):
 
 @_query
 def p9_found(spark, sf_dir):
-    from quillspark.llm.mixing import listed_tokens, source_budgets
+    from quillspark.llm.mixing import short_sources
 
-    targets = _read(spark, sf_dir, "mix_targets")
-    return source_budgets(listed_tokens(_read(spark, sf_dir, "documents"), targets), targets).where("short").select("source")
+    return short_sources(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
 
 
 @_query

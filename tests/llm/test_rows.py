@@ -115,3 +115,17 @@ def test_mixture_meets_its_shares(spark):
     assert abs(sum(shares.values()) - 1) < 1e-9 and shares["gone"] == 0
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
     assert tokens.count_tokens("word word") == 2
+
+
+def test_short_sources_come_from_the_plan(spark, monkeypatch):
+    docs = [(i, "word " * (5 + i % 7), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 2), ("c", 0.4, 1), ("gone", 0.1, 3), ("none", 0.0, 3)], "source string, target_share double, max_repeats long")
+    rounds = []
+    slot = mixing._slot
+    monkeypatch.setattr(mixing, "_slot", lambda level: rounds.append(level) or slot(level))
+    assert sorted(r.source for r in mixing.short_sources(df, targets).collect()) == ["b", "c", "gone"] and rounds[:2] == [0, 1]
+    plan = mixing.mixture_plan(df, targets)[1]
+    for r in mixing.source_budgets(mixing.listed_tokens(df, targets), targets).collect():
+        assert plan[r.source][3] == r.short
+    assert mixing.short_sources(df.limit(0), targets).count() == 0 and mixing.short_sources(df, targets.limit(0)).count() == 0
