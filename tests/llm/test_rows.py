@@ -93,6 +93,15 @@ def test_links_choose_the_likeliest_question(spark):
     assert [(r.id, r.parent_id) for r in conversations.reply_links(turns).collect()] == [(3, 1)]
 
 
+def test_sessions_are_judged_by_their_links(spark, monkeypatch):
+    rows = [(1, "s", "human", "a", 100, None, 0, 0), (2, "s", "ai", "b", 101, None, 0, 0), (3, "t", "human", "a", 100, None, 0, 0), (4, "t", "ai", "b", 101, None, 0, 0)]
+    df = spark.createDataFrame(rows, HISTORY)
+    assert {r.session_id: (r.keep, r.broken_exchanges) for r in conversations.session_states(df).collect()} == {"s": (True, 0), "t": (True, 0)}
+    link = conversations.reply_links
+    monkeypatch.setattr(conversations, "reply_links", lambda turns: link(turns).where("session_id = 's'"))
+    assert {r.session_id: (r.keep, r.broken_exchanges) for r in conversations.session_states(df).collect()} == {"s": (True, 0), "t": (False, 1)}
+
+
 # Problem 9.
 def test_mixture_meets_its_shares(spark):
     docs = [(i, "word " * (5 + i % 40), s, "h", 1) for s, lo, hi in (("a", 0, 3000), ("b", 3000, 3400), ("c", 3400, 3420)) for i in range(lo, hi)]
