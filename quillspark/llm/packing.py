@@ -50,21 +50,22 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_items: int = MAX_I
     return out
 
 
-def _pack_groups(items: DataFrame, key_type: str, capacity: int, max_items: int, round_no: int) -> DataFrame:
+def _pack_groups(items: DataFrame, key_type: str, capacity: int, max_items: int, round_no: int, max_attention: int | None = None) -> DataFrame:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_key", "piece_index"], ascending=[False, True, True], kind="stable")
-        k = best_fit(pdf["tokens"].to_numpy(), capacity, max_items)
+        k = best_fit(pdf["tokens"].to_numpy(), capacity, max_items, max_attention)
         fill = np.bincount(k, weights=pdf["tokens"], minlength=1)
         return pdf.assign(container=pdf["grp"].astype(str) + f".{round_no}." + pd.Series(k, index=pdf.index).astype(str), fill=fill[k])
 
     return items.groupBy("grp").applyInPandas(pack, f"doc_key {key_type}, piece_index int, piece_count int, start long, tokens long, grp long, container string, fill double")
 
 
-def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, capacity: int = CAPACITY, max_items: int = MAX_ITEMS, group_items: int = GROUP_ITEMS, reopen_below: float = REOPEN_BELOW) -> DataFrame:
+def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, capacity: int = CAPACITY, max_items: int = MAX_ITEMS, group_items: int = GROUP_ITEMS, reopen_below: float = REOPEN_BELOW, max_attention: int | None = None) -> DataFrame:
     """One row per packed piece: key, piece_index, piece_count, start (in tokens), tokens, container, fill.
 
     A null or empty text is an item of no tokens, packed like any other; a text of more than capacity tokens becomes
-    full pieces, each a container of its own, and a rest that is packed. An empty table gives no rows.
+    full pieces, each a container of its own, and a rest that is packed. An empty table gives no rows. A piece that
+    alone costs more than max_attention has a container of its own; without max_attention tokens bind first.
     """
     kind = df.schema[key].dataType.simpleString()
     groups = max(1, -(-df.count() // group_items))
@@ -79,7 +80,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             F.pmod(F.xxhash64("doc_key", "piece_index"), F.lit(groups)).alias("grp"),
         )
     )
-    first = _pack_groups(cut, kind, capacity, max_items, 1)
+    first = _pack_groups(cut, kind, capacity, max_items, 1, max_attention)
     last = F.col("fill") < capacity * reopen_below
     again = groups > 1
     if again:
@@ -88,7 +89,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
         first = checkpointed(first)
         loose = first.where(last).drop("container", "fill")
         fewer = max(1, -(-loose.count() // group_items))
-        packed = _pack_groups(loose.withColumn("grp", F.pmod(F.xxhash64("doc_key", "piece_index"), F.lit(fewer))), kind, capacity, max_items, 2)
+        packed = _pack_groups(loose.withColumn("grp", F.pmod(F.xxhash64("doc_key", "piece_index"), F.lit(fewer))), kind, capacity, max_items, 2, max_attention)
         first = first.where(~last).unionByName(packed)
     return first.select(F.col("doc_key").alias(key), "piece_index", "piece_count", "start", "tokens", "container", "fill")
 

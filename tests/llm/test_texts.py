@@ -201,6 +201,17 @@ def test_best_fit_keeps_every_capacity():
     assert len(set(k)) == 3
 
 
+def test_documents_are_packed_under_an_attention_cost(spark):
+    df = spark.createDataFrame([(i, "word " * (100 + 90 * (i % 9))) for i in range(60)] + [(900, "word " * 5000)], "doc_id long, text string")
+    for group in (8000, 20):
+        rows = packing.pack_documents(df, group_items=group, max_attention=600_000).collect()
+        boxes: dict = {}
+        for r in rows:
+            boxes.setdefault(r.container, []).append(r.tokens)
+        assert all(sum(t * t for t in b) <= 600_000 or len(b) == 1 for b in boxes.values())
+        assert {r.doc_id for r in rows} == {*range(60), 900} and any(sum(t * t for t in b) > 600_000 for b in boxes.values())
+
+
 def test_tokens_in_parts_equal_tokens_at_once():
     text = "Each row of chunk_keys points to the log. " * 4000
     assert tokens.count_tokens(text) == len(tokens.encoder(tokens.VOCABULARY).encode_ordinary(text))
