@@ -96,7 +96,13 @@ def test_near_copies_match_brute_force(spark):
         for hot in hots:
             pairs_ = nearcopies.all_pairs(members, nearcopies.similar_classes(reps, t, hot))
             assert {tuple(r) for r in pairs_.collect()} == want, (t, hot)
-    groups = nearcopies.copy_groups(*nearcopies.near_copies(df, "mem_id", "content", 0.75)).collect()
+    # Paths still hot after the last word are dealt to cells.
+    reps = nearcopies.word_classes(df, "mem_id", "content").where("k = rep").selectExpr("rep as r", "h")
+    want = {tuple(r) for r in nearcopies.similar_classes(reps, 0.75).collect()}
+    assert {tuple(r) for r in nearcopies.similar_classes(reps, 0.75, 1, 2, 1).collect()} == want
+    members, links = nearcopies.near_copies(df, "mem_id", "content", 0.75)
+    assert "Broadcast" not in nearcopies.all_pairs(members, links)._jdf.queryExecution().executedPlan().toString()
+    groups = nearcopies.copy_groups(members, links).collect()
     assert len(groups) == sum(bool(w) for w in words.values())
     assert nearcopies.all_pairs(*nearcopies.near_copies(df.limit(0), "mem_id", "content")).count() == 0
 
