@@ -167,7 +167,7 @@ def p10_found(spark, sf_dir):
 def p10_scores(spark, sf_dir):
     from quillspark.llm.stuffing import page_scores
 
-    return page_scores(_read(spark, sf_dir, "documents")).select("doc_id", *(F.round(c, 4).alias(c) for c in ("density", "link_share", "repetition", "replicated")))
+    return page_scores(_read(spark, sf_dir, "documents")).select("doc_id", *(F.round(c, 4).alias(c) for c in ("density", "link_share", "replicated")))
 
 
 def queries() -> dict[str, Query]:

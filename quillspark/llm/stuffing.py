@@ -2,16 +2,18 @@
 
 Each page is cut into segments: lines, cells, sentences. A segment is prose if it has enough words and enough of them
 are words of sentences, code if it has the marks of code, else list material: keywords, links, tags. The words of
-sentences are grown from function words on a bounded sample: those far commoner in sentences with function words than in items
-without any. Two
-kinds of evidence are joined. List density is the share of the page's characters that is list material. Replication
-comes from the whole collection: the phrases of the list material (a short item as it stands, a longer one as shingles
-of five words) are exploded, distinct hosts are counted for each, and a phrase is replicated if it stands on another
-host too, or twice on the page. A page is flagged if most of its text is list material and that is mostly links or
-stitched from replicated phrases or words.
-
-Shingles of sentences aren't exploded: they say nothing about list material, and in a collection written from common
-wordings most of them stand on many hosts.
+sentences are grown from function words on all pages: those far commoner in sentences with function words than in items
+without any.
+
+The list material is cut into phrases. Items end at separators, figures and codes; an item counts as shingles of two
+words, since keywords stand in any order; a link counts by its domain and by its path. Phrases are exploded and the
+distinct hosts of each are counted in the whole collection.
+
+A page is flagged if its list material is stitched mostly from phrases that stand on another host too (replication), and
+if most of the page is list material (list density). Neither is enough: a list of names found nowhere else isn't
+flagged, and neither is a page of sentences, however common its phrases.
+
+Sentences aren't exploded: what stands in them can't make a page a list, so it can't change the result.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE = 5
-DENSITY, ALONE, REPLICATED = 0.55, 0.65, 0.3
-#: Bounds of the sample that the words of sentences are learned from: rows, and characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+#: Words of a phrase shingle. Keywords follow one another in random order, so that longer ones hardly ever recur (README).
+SHINGLE = 2
+#: Least share of a page that is list material, and of the list material that is replicated.
+DENSITY, REPLICATED = 0.5, 0.5
+#: Inverse of the share of all sentence words from which a word can be one of the dictionary, which has fewer than so many.
+VOCABULARY = 100_000
+#: Inverse of the share of all phrase rows from which a phrase is heavy: fewer than so many are sent to every task.
+HEAVY = 20_000
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -47,6 +53,11 @@ for _i, _text in enumerate(FUNCTION_WORDS.values()):
 _CUT = re.compile(r"\n+|\s+[|»›•·→]+\s+|(?<=[.!?。！？])\s+|;\s+(?=#)|,\s+(?=#)|(?<=\S)\s+(?=#\w)")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z0-9][\w-]*(?:\.[a-z0-9][\w-]*)+/\S*|<a\s[^>]*>|</a>", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+#: A compound with hyphens is one word where sentences are told from lists: the "in" of "built-in" is no function word.
+_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_MAYBE_LINK = re.compile(r"/|www\.|<a\s|</a", re.I)
+#: What ends an item within a line: separators, and figures or codes with what is attached to them.
+_ITEM = re.compile(r"[,;:/|»›•·→\t!?()\[\]<>\"]+|\s+[-–—*.]+\s+|(?<![^\W_])[^\W\d_]{1,3}-?\d[\w.]*|\d[\w.]*|#|[.](?=\s|$)")
 _CODE = re.compile(
     r"[{};]\s*$|^\s*(?:def |class |import |from \w+ import|return\b|if .*:$|for .*:$|while .*:$|else:|try:|SELECT\b|INSERT\b|UPDATE\b|DELETE\b|CREATE\b|FROM\b|WHERE\b|GROUP BY|ORDER BY|JOIN\b|WITH\b|let |const |var |fn |func |function |#include|public |private |//|--\s|\$ )"
     r"|\w\(.*\)|[=!<>]=|\w\s{0,20}=\s{0,20}[\w\"'\[{(]|->|=>|::"
@@ -65,22 +76,55 @@ def _by_seeds(words: list[str]) -> bool:
     return max(votes) * 9 >= len(words)
 
 
-def sentence_words(texts: list[str]) -> frozenset[str]:
-    """The function words, and words far commoner in sentences with function words than in items without any."""
-    inside, outside = Counter(), Counter()
+def _bare(segment: str) -> str:
+    """A segment without its links."""
+    return _LINK.sub(" ", segment) if _MAYBE_LINK.search(segment) else segment
+
+
+def _tally(texts: list[str | None], inside: Counter, outside: Counter) -> None:
+    """Counts segments by word: sentences with function words, and items without any."""
     for t in texts:
-        for x in _CUT.split(t):
-            words = _WORD.findall(_LINK.sub(" ", x).lower()) if x else []
+        for x in _CUT.split(t) if t else ():
+            ended = x.rstrip()[-1:] in ".!?…。！？"
+            words = _COMPOUND.findall(_bare(x).lower()) if x else []
             if not words:
                 continue
-            ended = x.rstrip()[-1:] in ".!?…。！？"
-            if ended and len(words) > 5 and _by_seeds(words):
-                inside.update(set(words))
-            elif not ended and not any(w in _BY_WORD and w not in _LINKING for w in words):
+            if ended:
+                if len(words) > 5 and _by_seeds(words):
+                    inside.update(set(words))
+            elif not any(w in _BY_WORD and w not in _LINKING for w in words):
                 outside.update(set(words))
-    n, m = sum(inside.values()) or 1, sum(outside.values()) or 1
-    grown = {w for w, c in inside.items() if c >= 3 and c / n > 4 * (outside[w] + 0.5) / m}
-    return frozenset(grown | (_BY_WORD.keys() - _LINKING))
+
+
+def sentence_words(df: DataFrame, text: str) -> frozenset[str]:
+    """The function words, and words far commoner in sentences with function words than in items without any, over all rows.
+
+    A word needs one in ``VOCABULARY`` of all sentence words, and three places, so the dictionary is bounded.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, outside = Counter(), Counter()
+
+        def full() -> pa.RecordBatch:
+            words = list(inside.keys() | outside.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([inside[w] for w in words], pa.int64()), pa.array([outside[w] for w in words], pa.int64())], names=["w", "i", "o"])
+            inside.clear()
+            outside.clear()
+            return out
+
+        for b in batches:
+            _tally(b.column(0).to_pylist(), inside, outside)
+            if len(inside) + len(outside) > 200_000:
+                yield full()
+        yield full()
+
+    from quillspark.session import checkpointed
+
+    counts = checkpointed(df.select(F.col(text).alias("t")).mapInArrow(count, "w string, i long, o long").groupBy("w").agg(F.sum("i").alias("i"), F.sum("o").alias("o")))
+    n, m = counts.agg(F.coalesce(F.sum("i"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
+    n, m = n or 1, m or 1
+    picked = counts.where((F.col("i") >= max(3, n / VOCABULARY)) & (F.col("i") / n > 4 * (F.col("o") + 0.5) / m)).select("w").collect()  # no more than VOCABULARY
+    return frozenset({r.w for r in picked} | (_BY_WORD.keys() - _LINKING))
 
 
 def _prose(words: list[str], grown: frozenset[str]) -> bool:
@@ -96,87 +140,101 @@ def _key(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode()) - (1 << 63)
 
 
-def page_evidence(text: str, grown: frozenset[str] = frozenset()) -> tuple[float, float, float, list[int], list[float]]:
-    """density, link share and repetition of a page's list material; its phrases' hashes and their weights in characters.
+def phrases_of(items: list[list[str]]) -> Iterator[tuple[list[str], float]]:
+    """The phrases of items with their weights in characters: an item of up to SHINGLE words whole, a longer one as shingles."""
+    for x in items:
+        runs = max(1, len(x) - SHINGLE + 1)
+        for i in range(runs):
+            yield x[i : i + SHINGLE], sum(map(len, x)) / runs
+
+
+def page_evidence(text: str, grown: frozenset[str] = frozenset()) -> tuple[float, float, list[int], list[float]]:
+    """density and link share of a page's list material; its phrases' hashes and their weights in characters.
 
-    density: characters of list material among all; link share: those of links among list material; repetition: the
-    share of its words that the page's list material uses four times or more. An empty text has 0 of each and no phrase.
+    density: characters of list material among all; link share: those of links among list material. An empty text has 0
+    of each and no phrase.
     """
     prose = code = listed = links = 0
-    phrases: Counter = Counter()
-    vocabulary: Counter = Counter()
+    weights: Counter = Counter()
+    items: list[list[str]] = []
     for line in _CUT.split(text):
         if not line or not line.strip():
             continue
         size = len(line.strip())
-        bare = _LINK.sub(" ", line)
-        words = _WORD.findall(bare.lower())
+        bare = _bare(line)
+        words = _COMPOUND.findall(bare.lower())
+        linked = len(line) - len(bare)
         if _prose(words, grown):
-            inside = size - min(size, len(line) - len(bare))
+            inside = size - min(size, linked)
             prose += inside
             links += size - inside
             listed += size - inside
-            continue
-        if len(bare) == len(line) and line.count(",") < 4 and _CODE.search(line) and "#" not in line[:1]:
+        elif not linked and line.count(",") < 4 and _CODE.search(line) and "#" not in line[:1]:
             code += size
             continue
-        parts = [words] if line.count(",") < 3 else [_WORD.findall(x.lower()) for x in bare.split(",")]
-        listed += size
-        links += len(line) - len(bare)
-        for p in parts:
-            if not p:
-                continue
-            vocabulary.update(p)
-            n = sum(map(len, p))
-            if len(p) <= SHINGLE:
-                phrases[_key(p)] += n
-            else:
-                runs = len(p) - SHINGLE + 1
-                for i in range(runs):
-                    phrases[_key(p[i : i + SHINGLE])] += n / runs
+        else:
+            listed += size
+            links += linked
+            items += [w for x in _ITEM.split(bare.lower()) if (w := _WORD.findall(x))]
+        if linked:
+            for m in _LINK.finditer(line):
+                x = m.group().lower().split("//")[-1].removeprefix("<a href=").strip("\"'<>/")
+                domain, _, path = x.removeprefix("www.").partition("/")
+                for p in ([domain], _WORD.findall(path)):
+                    if p and p[0]:
+                        weights[_key(p)] += len(m.group()) / 2
+    for p, n in phrases_of(items):
+        weights[_key(p)] += n
     total = prose + code + listed
-    n = sum(vocabulary.values())
-    again = sum(c for c in vocabulary.values() if c >= 4)
-    return (listed / total if total else 0.0), (min(1.0, links / listed) if listed else 0.0), (again / n if n else 0.0), list(phrases), [float(x) for x in phrases.values()]
+    return (listed / total if total else 0.0), (min(1.0, links / listed) if listed else 0.0), list(weights), [float(x) for x in weights.values()]
+
 
+def _host(df: DataFrame, host: str, url: str) -> Column:
+    """The host of the url, else the source; a null one is a host of its own."""
+    known = [F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))] if url in df.columns else []
+    return F.coalesce(*(F.when(x != "", x) for x in known), F.col(host).cast("string"), F.lit(""))
 
-def page_scores(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per page that has list material: key, density, link_share, repetition, replicated.
 
-    replicated is the share, by characters, of its phrases that stand on another host as well. A null host counts as one
-    host. Null, empty and pure prose texts give no row. A page stored twice under its key is scored twice.
+def page_scores(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", url: str = "url") -> DataFrame:
+    """One row per page that has list material: key, density, link_share, replicated.
 
-    Hosts are counted with one shuffle by phrase of (phrase, host) pairs, made distinct before it is sent; phrases are
-    joined to the pages by a second one, in which a hot phrase is split by its salt.
+    replicated is the share, by characters, of its phrases that stand on another host as well. Null, empty and pure prose
+    texts give no row. A page stored twice under its key is scored twice.
+
+    (phrase, host) pairs are combined before the shuffle that counts hosts. Phrases that hold more than one in ``HEAVY``
+    of all rows, fewer than ``HEAVY``, are joined to the pages by broadcast, the others by a second shuffle, in which no
+    phrase has more than that share.
     """
     kind = df.schema[key].dataType.simpleString()
-    share = min(1.0, SAMPLE_ROWS / max(1, df.count()))
-    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).where(F.char_length(text).between(1, SAMPLE_CHARS)).select(F.col(text).alias("t")).limit(SAMPLE_ROWS).collect()
-    grown = sentence_words([r.t for r in picked])
+    grown = sentence_words(df, text)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            out = [page_evidence(t, grown) if t else (0.0, 0.0, 0.0, [], []) for t in texts]
+            out = [page_evidence(t, grown) if t else (0.0, 0.0, [], []) for t in texts]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), *(pa.array(np.array([x[i] for x in out], "f8")) for i in range(3)),
-                pa.array([x[3] for x in out], pa.list_(pa.int64())), pa.array([x[4] for x in out], pa.list_(pa.float32())),
-            ], names=["k", "host", "density", "link_share", "repetition", "phrases", "weights"])
+                b.column(0), b.column(1), *(pa.array(np.array([x[i] for x in out], "f8")) for i in range(2)),
+                pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.array([x[3] for x in out], pa.list_(pa.float32())),
+            ], names=["k", "host", "density", "link_share", "phrases", "weights"])
 
-    source = df.select(F.col(key).alias("k"), F.pmod(F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))), F.lit((1 << 31) - 1)).cast("int").alias("host"), F.col(text).alias("t"))
-    pages = source.mapInArrow(look, f"k {kind}, host int, density double, link_share double, repetition double, phrases array<bigint>, weights array<float>").where("density > 0")
+    source = df.select(F.col(key).alias("k"), F.xxhash64(_host(df, host, url)).alias("host"), F.col(text).alias("t"))
+    pages = source.mapInArrow(look, f"k {kind}, host long, density double, link_share double, phrases array<bigint>, weights array<float>").where("density > 0")
     from quillspark.session import checkpointed
 
-    pages = checkpointed(pages)
-    each = pages.select("k", "host", F.monotonically_increasing_id().alias("row"), F.explode(F.arrays_zip("phrases", "weights")).alias("x")).select("row", "host", F.col("x.phrases").alias("phrase"), F.col("x.weights").alias("weight"))
-    hosts = each.groupBy("phrase").agg(F.min("host").alias("lo"), F.max("host").alias("hi")).where("lo < hi").select("phrase", F.lit(True).alias("elsewhere"))
-    # What a phrase on one host only lacks is a second host, so the least and the greatest tell; both are combined before the shuffle.
-    known = each.join(hosts, "phrase", "left")
-    share = known.groupBy("row").agg((F.sum(F.when(F.col("elsewhere"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("replicated"))
-    return pages.withColumn("row", F.monotonically_increasing_id()).join(share, "row", "left").select(F.col("k").alias(key), "density", "link_share", "repetition", F.coalesce("replicated", F.lit(0.0)).alias("replicated"))
-
-
-def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """key of each page most of whose text is keywords, links or tags, once."""
-    stitched = (F.col("link_share") >= REPLICATED) | (F.col("replicated") >= REPLICATED) | (F.col("repetition") >= REPLICATED) | (F.col("density") >= ALONE)
-    return page_scores(df, key, text, host).where((F.col("density") >= DENSITY) & stitched).select(key).distinct()
+    pages = checkpointed(pages.withColumn("row", F.monotonically_increasing_id()))
+    each = pages.select("row", "host", F.explode(F.arrays_zip("phrases", "weights")).alias("x")).select("row", "host", F.col("x.phrases").alias("phrase"), F.col("x.weights").alias("weight"))
+    # A phrase stands on another host if its hosts' least and greatest hashes differ; both are combined before the shuffle.
+    hosts = checkpointed(each.groupBy("phrase").agg(F.min("host").alias("lo"), F.max("host").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase", (F.col("lo") < F.col("hi")).alias("elsewhere"), "n"))
+    heavy_from = (pages.agg(F.sum(F.size("phrases"))).first()[0] or 0) / HEAVY
+    heavy = hosts.where(F.col("n") > max(1, heavy_from)).select("phrase", "elsewhere")
+    marked = each.join(F.broadcast(heavy), "phrase", "left")
+    light = marked.where("elsewhere is null").select("row", "phrase", "weight").hint("merge").join(hosts.where("elsewhere").where(F.col("n") <= max(1, heavy_from)).select("phrase").hint("merge"), "phrase")
+    there = marked.where("elsewhere").select("row", "weight").unionAll(light.select("row", "weight")).groupBy("row").agg(F.sum("weight").alias("there"))
+    all_of = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    scored = pages.hint("merge").join(there.hint("merge"), "row", "left")
+    return scored.select(F.col("k").alias(key), "density", "link_share", F.when(F.size("weights") > 0, F.coalesce("there", F.lit(0.0)) / all_of).otherwise(0.0).alias("replicated"))
+
+
+def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", url: str = "url") -> DataFrame:
+    """key of each page most of whose text is keywords, links or tags that stand on other hosts too, once."""
+    return page_scores(df, key, text, host, url).where((F.col("density") >= DENSITY) & (F.col("replicated") >= REPLICATED)).select(key).distinct()

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import chunking, languages, nearcopies, packing, pairs, scans, stuffing, tokens
 
 PDF = "chunk_id long, source string, page long, chunk_index long, heading string, content string, char_count long, k string, words string"
@@ -230,8 +232,18 @@ def test_stuffed_pages(spark):
     links = "\n".join(f"pump part {i} http://shop{i}.example/a?id={i}" for i in range(30))
     cases = {1: "Pump valve cheap pump! Buy pump best valve. Order pump valve pump sale! Valve pump discount pump. " * 8, 2: links, 3: EN[0] + "\n" + links, 4: " ".join(f"#pumpvalve{i % 7}" for i in range(60)), 5: "pump | cheap pump | valve | buy valve | " * 12}
     fine = {10: prose * 5, 11: "\n".join(f"[pump](http://a.example/{i}): {EN[i % 4]} {EN[(i + 1) % 4]}" for i in range(12)), 12: "def f(x):\n    return x + 1\n" * 20, 13: prose * 6 + "\npump http://a.example/x", 14: None, 15: "", 16: "\n".join("* " + x for x in EN)}
-    rows = [(i, t, f"h{i % 5}", "z") for i, t in {**cases, **fine}.items()] + [(100 + i, prose * 3 + EN[i % 4], f"h{i % 9}", "z") for i in range(40)] + [(200, "x" * 300_000, None, "z"), (1, cases[1], "h1", "z")]
+    unique = {20: "\n".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}zeb {chr(110 + i % 9)}orq{chr(97 + i)}" for i in range(26))}  # a list of words found nowhere else
+    rows = [(i, t, f"h{i % 5}", "z") for i, t in {**cases, **fine, **unique}.items()] + [(100 + i, prose * 3 + EN[i % 4], f"h{i % 9}", "z") for i in range(40)] + [(200, "x" * 300_000, None, "z"), (1, cases[1], "h1", "z")]
+    rows += [(30 + i, " ".join(reversed(t.split(" "))) if i != 2 else t, "other", "z") for i, t in cases.items()]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, phrase string")
     found = [r.doc_id for r in stuffing.stuffed_pages(df).collect()]
-    assert sorted(x for x in found if x < 100) == sorted(cases)
+    assert sorted(x for x in found if x < 30) == sorted(cases)
+    # Without other hosts the same pages aren't flagged, however dense their lists.
+    alone = df.where("doc_id < 30 or doc_id between 100 and 199").withColumn("source", F.lit("one"))
+    assert stuffing.stuffed_pages(alone).count() == 0
+    dense = {r.doc_id for r in stuffing.page_scores(alone).where(f"density >= {stuffing.DENSITY}").collect()}
+    assert dense >= {*cases, *unique}
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+    # The host is the url's where there is one.
+    by_url = df.where("doc_id < 30 or doc_id between 100 and 199").selectExpr("doc_id", "text", "'one' as source", "concat('https://', source, '.example/', doc_id) as url")
+    assert {r.doc_id for r in stuffing.stuffed_pages(by_url).collect()} == {r.doc_id for r in stuffing.stuffed_pages(df.where("doc_id < 30 or doc_id between 100 and 199")).collect()} > {2}
