@@ -51,6 +51,7 @@ for _i, _text in enumerate(FUNCTION_WORDS.values()):
         _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _i)
 
 _CUT = re.compile(r"\n+|\s+[|»›•·→]+\s+|(?<=[.!?。！？])\s+|;\s+(?=#)|,\s+(?=#)|(?<=\S)\s+(?=#\w)")
+_MARKED = re.compile(r"[|»›•·→#]|[^\S \n]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[a-z0-9][\w-]*(?:\.[a-z0-9][\w-]*)+/\S*|<a\s[^>]*>|</a>", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 #: A compound with hyphens is one word where sentences are told from lists: the "in" of "built-in" is no function word.
@@ -64,6 +65,15 @@ _CODE = re.compile(
 )
 
 
+def _segments(text: str) -> list[str]:
+    """Lines, cells and sentences; blanks at their ends may be left. Texts without marks of lists are cut by plain replacement."""
+    if _MARKED.search(text):
+        return _CUT.split(text)
+    for end in ".!?。！？":
+        text = text.replace(end + " ", end + "\n")
+    return text.split("\n")
+
+
 def _by_seeds(words: list[str]) -> bool:
     """At least four words, and one in nine or more of them function words of one language other than linking words of names."""
     if len(words) < 4:
@@ -84,7 +94,7 @@ def _bare(segment: str) -> str:
 def _tally(texts: list[str | None], inside: Counter, outside: Counter) -> None:
     """Counts segments by word: sentences with function words, and items without any."""
     for t in texts:
-        for x in _CUT.split(t) if t else ():
+        for x in _segments(t) if t else ():
             ended = x.rstrip()[-1:] in ".!?…。！？"
             words = _COMPOUND.findall(_bare(x).lower()) if x else []
             if not words:
@@ -157,7 +167,7 @@ def page_evidence(text: str, grown: frozenset[str] = frozenset()) -> tuple[float
     prose = code = listed = links = 0
     weights: Counter = Counter()
     items: list[list[str]] = []
-    for line in _CUT.split(text):
+    for line in _segments(text):
         if not line or not line.strip():
             continue
         size = len(line.strip())
