@@ -32,9 +32,26 @@ def test_neighbours_match_brute_force(spark):
 def test_large_areas_are_dealt_by_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 64)))], "id long, embedding array<double>")
-    whole = {tuple(r) for r in neighbours.nearest_neighbours(df, probes=99, rerank=600).select("id", "neighbour").collect()}
+    whole = {tuple(r) for r in neighbours.nearest_neighbours(df, probes=99, rerank=600, margin=2).select("id", "neighbour").collect()}
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
-    assert {tuple(r) for r in neighbours.nearest_neighbours(df, probes=99, rerank=600).select("id", "neighbour").collect()} == whole
+    found = neighbours.nearest_neighbours(df, probes=99, rerank=600, margin=2)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in neighbours.nearest_neighbours(df, probes=99, rerank=600, margin=2).select("id", "neighbour").collect()} == whole
+
+
+def test_cells_are_fitted_in_tasks_where_there_are_many(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 64))
+    x = (centres[rng.integers(200, size=6000)] + 0.3 * rng.normal(size=(6000, 64))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "FLAT_CELLS", 16)
+    got = neighbours.nearest_neighbours(df, cell_rows=60).groupBy("id").agg({"neighbour": "collect_list"}).toPandas().set_index("id").iloc[:, 0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ask = np.arange(0, 6000, 20)
+    s = u[ask] @ u.T
+    s[np.arange(len(ask)), ask] = -2
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert len(got) == 6000 and np.mean([len({*got[i]} & {*w.tolist()}) / 5 for i, w in zip(ask.tolist(), want)]) >= 0.95
 
 
 def test_anisotropic_codes_keep_large_products_better():
