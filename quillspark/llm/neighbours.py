@@ -329,7 +329,9 @@ def nearest_neighbours(df: DataFrame, key: str = "id", vector: str = "embedding"
                     names=["id", "area", "d", "q", "cell", "look", "v"],
                 )
 
-    placed = rows.mapInArrow(place, "id long, area int, d int, q int, cell int, look array<int>, v binary")
+    # Two partitions a block, so that few tasks get several.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * int(blocks.prod(1).sum()))
+    placed = rows.mapInArrow(place, "id long, area int, d int, q int, cell int, look array<int>, v binary").repartition(tasks, "area", "d", "q")
 
     def search(table: pa.Table) -> pa.Table:
         books = model.value[1]
