@@ -56,6 +56,46 @@ def test_time_travel_and_rollback(spark, store):
     store.update("a", {"b": "0"})
     store.rollback()
     assert rows(store.table("a"), "id") == [(1, 11)]
+    assert rows(store.as_of("a", 10**12), "id") == [(1, 11)] and store.changes("a").where("b = 0").count() == 0
+    assert rows(store.history("a"), "id", "_valid_from") == [(1, 10, 100, 200), (1, 11, 200, 2**63 - 1), (2, 20, 100, 300)]
+    store.begin()
+    store.insert("a", spark.createDataFrame([(5, 5)], "id long, b long"))
+    store.savepoint("s")
+    store.insert("a", spark.createDataFrame([(6, 6)], "id long, b long"))
+    store.rollback("s")
+    store.commit()
+    assert rows(store.table("a"), "id") == [(1, 11), (5, 5)]
+    with pytest.raises(ValueError):
+        store.rollback()
+
+
+def test_statements_write_only_the_buckets_they_touch(spark, store):
+    store.create("t", "id long, v long", Rules(["id"]))
+    store.insert("t", spark.range(100).selectExpr("id", "id as v"))
+    before = store._state("t")["files"]
+    store.update("t", {"v": "0"}, "id = 3")
+    after = store._state("t")["files"]
+    assert sum(before[b] != after[b] for b in before) == 1 and rows(store.table("t").selectExpr("sum(v) AS v"), "v") == [(4950 - 3,)]
+    store.vacuum("t")
+    assert store.table("t").count() == 100 and len(store.fs.names(f"{store.root}/t/data")) == 1
+    assert {r.column: (r.rows, r.nulls, r.greatest) for r in store.analyze("t").collect()} == {"id": (100, 0, "99"), "v": (100, 0, "99")}
+
+
+def test_partial_unique_and_update_actions(spark, store):
+    store.create("p", "id long, code string, live boolean", Rules(["id"], unique=[{"columns": ["code"], "where": "live"}]))
+    store.create("c", "id long, p long", Rules(["id"], foreign_keys=[{"columns": ["p"], "table": "p", "references": ["id"], "on_update": "cascade", "on_delete": "set null"}]))
+    store.insert("p", spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", False)], "id long, code string, live boolean"))
+    with pytest.raises(ConstraintError):
+        store.update("p", {"live": "true"}, "id = 2")
+    store.insert("c", spark.createDataFrame([(1, 1), (2, 2)], "id long, p long"))
+    store.update("p", {"id": "id + 10"}, "id = 1")
+    assert rows(store.table("c"), "id") == [(1, 11), (2, 2)]
+    store.delete("p", "id = 2")
+    assert rows(store.table("c"), "id") == [(1, 11), (2, None)]
+    store.alter("p", rename=("live", "active"))
+    with pytest.raises(ConstraintError):
+        store.insert("p", spark.createDataFrame([(9, "a", True)], "id long, code string, active boolean"))
+    assert rows(store.table_info("p").select("name", "pk"), "name") == [("active", 0), ("code", 0), ("id", 1)]
 
 
 def test_alter(spark, store):
