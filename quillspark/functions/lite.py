@@ -107,7 +107,9 @@ def to_text(x: Column | str, kind: str = "string") -> Column:
     if kind not in ("double", "float"):
         return v.cast("string")
     whole = (v == F.floor(v)) & (F.abs(v) < 1e18)
-    return F.when(whole, F.format_string("%d", v.cast("long"))).otherwise(v.cast("string"))
+    plain = F.call_function("format_number", v.cast("double"), F.lit("0." + "#" * 30))
+    exponent = F.when(F.abs(v) >= 1e18, F.coalesce(v.cast("double").try_cast("decimal(38,0)").cast("string"), v.cast("string"))).otherwise(F.replace(plain, F.lit(","), F.lit("")))
+    return F.when(whole, F.format_string("%d", v.cast("long"))).when(F.contains(v.cast("string"), F.lit("E")), exponent).otherwise(v.cast("string"))
 
 
 def to_integer(x: Column | str) -> Column:

@@ -19,7 +19,6 @@ def traverse(graph: Graph, start: int, direction: str = "both", label: str | Non
 
     A start that isn't a node gives no rows; the depth is at least 1.
     """
-    spark = graph.nodes.sparkSession
     allowed = graph.nodes if where is None else graph.nodes.where(where)
     steps = graph.steps(direction, label).select("here", "there")
     seen = graph.nodes.where(F.col("id") == start).select("id", F.lit(0).alias("depth"))
@@ -31,7 +30,6 @@ def traverse(graph: Graph, start: int, direction: str = "both", label: str | Non
         if edge.isEmpty():
             break
         seen = seen.unionAll(edge)
-    _ = spark
     return seen.join(graph.nodes.dropDuplicates(["id"]), "id").select(F.col("id").alias("node_id"), "label", "properties", "depth")
 
 
@@ -77,18 +75,20 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 20, toleranc
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     out = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    nodes = checkpointed(nodes.join(out.select(F.col("src").alias("id"), F.lit(False).alias("_sends")), "id", "left").select("id", F.col("_sends").isNull().alias("dangling")))
     edges = checkpointed(graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("share")))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
     for _ in range(iterations):
-        sent = edges.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        dangling = ranks.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = ranks.join(sent, "id", "left").crossJoin(F.broadcast(dangling))  # dangling is one row
-        new = checkpointed(new.select("id", ((1 - d) / n + d * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), F.col("rank").alias("old")))
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("id", "rank")
+        sent = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        new = ranks.join(sent, "id", "left").select("id", "dangling", ((1 - d) / n + d * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"), F.col("rank").alias("old"))
+        new = checkpointed(new)
+        # One pass gives the movement of this round and the dangling mass of the next.
+        moved, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+        ranks = new.select("id", "dangling", "rank")
         if moved < tolerance:
             break
-    return ranks
+    return ranks.select("id", "rank")
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -128,6 +128,20 @@ def triangles(graph: Graph) -> DataFrame:
     return wedge.join(close, ["y", "z"]).agg(F.count(F.lit(1)).alias("triangles"))
 
 
+def subgraph(graph: Graph, start: int, max_depth: int = 1) -> Graph:
+    """The nodes within some hops of a start, in both directions, and the edges between them."""
+    ids = traverse(graph, start, "both", max_depth=max_depth).select(F.col("node_id").alias("id"))
+    ids = checkpointed(ids)
+    edges = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return Graph(graph.nodes.join(ids, "id", "left_semi"), edges.select(*graph.edges.columns))
+
+
+def has_edges(graph: Graph, pairs: DataFrame, label: str | None = None) -> DataFrame:
+    """pairs (src, dst) with found: whether an edge leads from src to dst."""
+    known = graph.steps("out", label).select(F.col("here").alias("src"), F.col("there").alias("dst"), F.lit(True).alias("found")).distinct()
+    return pairs.join(known, ["src", "dst"], "left").select(*pairs.columns, F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def common_neighbours(graph: Graph, a: int, b: int) -> DataFrame:
     """id of the nodes that both a and b point to."""
     out = lambda x: graph.edges.where(F.col("src") == x).select(F.col("dst").alias("id"))
@@ -144,7 +158,7 @@ def betweenness(graph: Graph, normalized: bool = True, tasks: int = 16) -> DataF
     n, m = nodes.count(), graph.edges.count()
     if m > MOST_EDGES:
         raise ValueError(f"betweenness takes at most {MOST_EDGES} edges")
-    pairs = [(r.src, r.dst) for r in graph.edges.select("src", "dst").distinct().collect()]
+    pairs = [(r.src, r.dst) for r in graph.edges.select("src", "dst").collect()]  # at most MOST_EDGES; parallel ones count each
     adjacent: dict[int, list[int]] = {}
     for a, b in pairs:
         adjacent.setdefault(a, []).append(b)
@@ -191,19 +205,22 @@ def louvain(graph: Graph, passes: int = 15, least_weight: float = 0.001) -> Data
     if graph.edges.count() > MOST_EDGES:
         raise ValueError(f"louvain takes at most {MOST_EDGES} edges")
     w = F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(least_weight))
-    und = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    und = graph.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     all_nodes = graph.nodes.select("id").distinct()
     rows = und.unionByName(all_nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("w"))).withColumn("g", F.lit(0))
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
         links: dict[int, dict[int, float]] = {}
+        loops: dict[int, float] = {}  # they count in the degree only
         for a, b, x in zip(pdf["a"], pdf["b"], pdf["w"]):
             links.setdefault(a, {})
             links.setdefault(b, {})
             if a != b:
                 links[a][b] = links[b][a] = x
+            else:
+                loops[a] = loops.get(a, 0.0) + x
         home = {v: v for v in links}
-        degree = {v: sum(x.values()) for v, x in links.items()}
+        degree = {v: sum(x.values()) + loops.get(v, 0.0) for v, x in links.items()}
         inside = dict(degree)
         twice = sum(degree.values()) or 1.0
         for _ in range(passes):

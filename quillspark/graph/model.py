@@ -43,6 +43,13 @@ class Graph:
         edges = self.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
         return Graph(self.nodes.join(gone, "id", "left_anti"), edges.select(*self.edges.columns))
 
+    def without_edges(self, ends: DataFrame, label: str | None = None) -> Graph:
+        """Without the edges between the ends given (src, dst), of a label if named."""
+        gone = ends.select("src", "dst").distinct()
+        if label is None:
+            return Graph(self.nodes, self.edges.join(gone, ["src", "dst"], "left_anti").select(*self.edges.columns))
+        return Graph(self.nodes, self.edges.join(gone.withColumn("_l", F.lit(label.lower())), (self.edges["src"] == gone["src"]) & (self.edges["dst"] == gone["dst"]) & (F.lower(self.edges["label"]) == F.col("_l")), "left_anti"))
+
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return Graph(self.nodes.unionByName(nodes), self.edges)
 
@@ -76,13 +83,14 @@ def value(var: str, key: str) -> Column:
     return F.get_json_object(F.col(f"{var}.properties"), json_path(key))
 
 
-def match(graph: Graph, a: str = "a", r: str = "r", b: str = "b", a_label: str | None = None, r_label: str | None = None, b_label: str | None = None, hops: tuple[int, int] = (1, 1), direction: str = "out") -> DataFrame:
+def match(graph: Graph, a: str = "a", r: str = "r", b: str = "b", a_label: str | None = None, r_label: str | None = None, b_label: str | None = None, hops: tuple[int, int] = (1, 1), direction: str = "out", where_a: Column | None = None) -> DataFrame:
     """Struct columns a, r and b of each match of (a:A)-[r:R*min..max]->(b:B).
 
-    One hop gives each edge once; several give each pair of ends once, with r holding the number of hops as weight.
+    where_a is a condition on a that holds before the walk begins. One hop gives each edge once; several give each pair of ends once, with r holding the number of hops as weight.
     """
     has = lambda df, label: df if label is None else df.where(F.lower("label") == label.lower())
     left = has(graph.nodes, a_label).select(F.struct("id", "label", "properties").alias(a))
+    left = left if where_a is None else left.where(where_a)
     right = has(graph.nodes, b_label).select(F.struct("id", "label", "properties").alias(b))
     if hops == (1, 1):
         e = has(graph.edges, r_label)
@@ -91,16 +99,17 @@ def match(graph: Graph, a: str = "a", r: str = "r", b: str = "b", a_label: str |
         back = e.select(F.col("dst").alias("_x"), F.col("src").alias("_y"), whole)
         moves = moves if direction == "out" else back if direction == "in" else moves.unionAll(back)
     else:
-        moves = expand(graph, direction, r_label, *hops).select(F.col("here").alias("_x"), F.col("there").alias("_y"), F.struct(F.lit(r_label).alias("label"), F.col("hops").cast("double").alias("weight"), F.lit("{}").alias("properties")).alias(r))
+        moves = expand(graph, direction, r_label, *hops, starts=None if a_label is None and where_a is None else left.select(F.col(f"{a}.id").alias("id"))).select(F.col("here").alias("_x"), F.col("there").alias("_y"), F.struct(F.lit(r_label).alias("label"), F.col("hops").cast("double").alias("weight"), F.lit("{}").alias("properties")).alias(r))
     return moves.join(left, F.col("_x") == F.col(f"{a}.id")).join(right, F.col("_y") == F.col(f"{b}.id")).select(a, r, b)
 
 
-def expand(graph: Graph, direction: str, label: str | None, least: int, most: int) -> DataFrame:
-    """here, there, hops: the pairs of nodes joined by least to most hops, each once with its fewest hops in that range."""
+def expand(graph: Graph, direction: str, label: str | None, least: int, most: int, starts: DataFrame | None = None) -> DataFrame:
+    """here, there, hops: the pairs of nodes joined by least to most hops, each once with its fewest hops in that range. starts: the nodes (id) to walk from, all if None."""
     if not 0 < least <= most:
         raise ValueError("hops must be at least 1 and in order")
     step = graph.steps(direction, label).select("here", "there").distinct()
-    walk, found = step.withColumn("hops", F.lit(1)), None
+    first = step if starts is None else step.join(starts.select(F.col("id").alias("here")), "here", "left_semi")
+    walk, found = first.select("here", "there").withColumn("hops", F.lit(1)), None
     for n in range(1, most + 1):
         if n > 1:
             walk = walk.select("here", F.col("there").alias("mid")).join(step.withColumnRenamed("here", "mid"), "mid").select("here", "there").distinct().withColumn("hops", F.lit(n))

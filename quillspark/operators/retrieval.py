@@ -19,11 +19,12 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, tokens_of(text).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, key: str, text: str, query: str, k: int | None = None, where: Column | str | None = None) -> DataFrame:
+def bm25(df: DataFrame, key: str, text: str, query: str, k: int | None = None, where: Column | str | None = None, least_idf: float = LEAST_IDF, repeats: bool = False) -> DataFrame:
     """key, score, norm (score over the greatest): documents with a term of the query, best first, ties by key.
 
     Document counts and mean length are those of all documents, and where filters before scoring. Only the query's
     terms are exploded, so the shuffle holds matches, not the collection's words. A query without tokens gives no rows.
+    repeats: a term counts as often as the query has it.
     """
     terms = sorted(set(_tokens(query)))
     listed = F.array(*(F.lit(t) for t in terms)) if terms else F.array().cast("array<string>")
@@ -33,7 +34,9 @@ def bm25(df: DataFrame, key: str, text: str, query: str, k: int | None = None, w
     tf = hits.select(key, "_in", "dl", F.explode("t").alias("term")).groupBy(key, "_in", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a term of the query
     n, d = F.col("n"), F.col("df")
-    idf = F.greatest(F.lit(LEAST_IDF), F.log(1 + (n - d + 0.5) / (d + 0.5)))
+    idf = F.greatest(F.lit(least_idf), F.log(1 + (n - d + 0.5) / (d + 0.5)))
+    if repeats and terms:
+        idf = idf * F.element_at(F.create_map(*(x for t in terms for x in (F.lit(t), F.lit(_tokens(query).count(t))))), F.col("term"))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = tf.where("_in").join(F.broadcast(df_), "term").crossJoin(F.broadcast(lengths)).groupBy(key).agg(F.sum(part).alias("score"))
     if k is not None:

@@ -84,6 +84,21 @@ def sq8_decode(code: Column | str) -> Column:
     return F.transform(c["codes"], lambda x: c["lo"] + c["step"] * x.cast("double"))
 
 
+def sq8_l2(code: Column | str, query: list[float]) -> Column:
+    """Distance of a coded vector and a query in full precision."""
+    return F.sqrt(F.aggregate(F.zip_with(sq8_decode(code), _literal(query), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+
+
+def sq8_dot(code: Column | str, query: list[float]) -> Column:
+    return F.aggregate(F.zip_with(sq8_decode(code), _literal(query), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+
+
+def sq8_cosine(code: Column | str, query: list[float]) -> Column:
+    """Cosine distance; 1 for a zero vector."""
+    size = F.sqrt(F.aggregate(sq8_decode(code), F.lit(0.0), lambda a, x: a + x * x)) * float(np.linalg.norm(query))
+    return F.when(size > 0, 1 - sq8_dot(code, query) / size).otherwise(1.0)
+
+
 # Fitting on a bounded sample.
 def sample_vectors(df: DataFrame, key: str, vector: str, rows: int = FIT_ROWS) -> np.ndarray:
     """At most rows vectors, those with the least hashed keys in a fixed share of the hash space."""
@@ -165,9 +180,15 @@ class ProductQuantizer:
 
 
 class BitQuantizer:
-    """One bit a dimension after a random rotation: sign flips and a Walsh-Hadamard transform, of the next power of two."""
+    """One or two bits a dimension after a random rotation: sign flips and a Walsh-Hadamard transform, cut to the vectors' own dimensions.
+
+    Two bits are the sign and whether a number is over the middle of the rotated vector's sizes.
+    """
 
-    def __init__(self, dim: int, seed: int = 0x1337C0DE) -> None:
+    def __init__(self, dim: int, seed: int = 0x1337C0DE, bits: int = 1) -> None:
+        if bits not in (1, 2):
+            raise ValueError("codes have one or two bits a dimension")
+        self.dim, self.bits = dim, bits
         self.size = 1 << max(3, (dim - 1).bit_length())
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], self.size).astype("f4")
 
@@ -180,13 +201,15 @@ class BitQuantizer:
             y = y.reshape(len(x), -1, 2, h)
             y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), self.size)
             h *= 2
-        return y / np.sqrt(self.size)
+        return y[:, : self.dim] / np.sqrt(self.size)
 
     def encode(self, df: DataFrame, vector: str, name: str = "bits") -> DataFrame:
         return _map_vectors(df, vector, name, "array<bigint>", lambda x: list(self._words(x)))
 
     def _words(self, x: np.ndarray) -> np.ndarray:
-        bits = np.packbits(self.rotate(x) >= 0, axis=1, bitorder="little")
+        y = self.rotate(x)
+        planes = [y >= 0] if self.bits == 1 else [y >= 0, np.abs(y) > np.median(np.abs(y), axis=1, keepdims=True)]
+        bits = np.concatenate([np.packbits(p, axis=1, bitorder="little") for p in planes], axis=1)
         full = np.zeros((len(x), -(-bits.shape[1] // 8) * 8), "u1")
         full[:, : bits.shape[1]] = bits
         return full.view("i8")
@@ -197,6 +220,27 @@ class BitQuantizer:
         return sum((F.bit_count(F.col(name)[i].bitwiseXOR(F.lit(int(w)))) for i, w in enumerate(words)), F.lit(0))
 
 
+    def asymmetric(self, df: DataFrame, query: list[float], name: str = "bits", out: str = "similarity") -> DataFrame:
+        """df with the estimated cosine of coded vectors with a query in full precision."""
+        q = self.rotate(np.array([query], "f4"))[0]
+        dim, size, two = self.dim, -(-self.dim // 8), self.bits == 2
+
+        @F.pandas_udf("double")
+        def cosine(codes: pd.Series) -> pd.Series:
+            ok = codes.notna().to_numpy()
+            got = np.full(len(codes), np.nan)
+            if ok.any():
+                raw = np.stack(codes[ok].to_numpy()).astype("i8").view("u1").reshape(int(ok.sum()), -1)
+                sign = np.unpackbits(raw[:, :size], axis=1, bitorder="little")[:, :dim] * 2.0 - 1
+                # The levels are the mean sizes of the lower and upper half of a normal distribution's numbers.
+                level = 1 + np.unpackbits(raw[:, size : 2 * size], axis=1, bitorder="little")[:, :dim] * (1.2731 / 0.3229 - 1) if two else 1.0
+                x = sign * level
+                got[ok] = x @ q / np.maximum(np.linalg.norm(x, axis=1) * max(np.linalg.norm(q), 1e-30), 1e-30)
+            return pd.Series(got)
+
+        return df.withColumn(out, cosine(F.col(name)))
+
+
 class InvertedFile:
     """Cells around k-means centroids fitted on a bounded sample; a search reads the cells nearest to the query only.
 
@@ -220,3 +264,8 @@ class InvertedFile:
 
     def nearest(self, indexed: DataFrame, vector: str, query: list[float], k: int, key: str, n_probe: int = 4, name: str = "cell") -> DataFrame:
         return nearest(indexed.where(F.col(name).isin(self.probes(query, n_probe))), vector, query, k, key, "cosine" if self.cosine else "l2")
+
+    def nearest_coded(self, indexed: DataFrame, bits: BitQuantizer, vector: str, query: list[float], k: int, key: str, n_probe: int = 4, rerank: int = 10, name: str = "cell", coded: str = "bits") -> DataFrame:
+        """As nearest, but the rows of the probed cells are ranked by their bit codes, and only the best k times rerank by their vectors."""
+        best = bits.asymmetric(indexed.where(F.col(name).isin(self.probes(query, n_probe)) & F.col(coded).isNotNull()), query, coded, "_sim").orderBy(F.desc("_sim"), key).limit(k * rerank).drop("_sim")
+        return nearest(best, vector, query, k, key, "cosine" if self.cosine else "l2")

@@ -17,74 +17,45 @@ add = Registry()
 QUERIES, SQL = add.queries, add.sql
 
 
-def _store(spark) -> Store:
+def new_store(spark) -> Store:
     """An empty store in the shared folder."""
-    return Store(spark, f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/store-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
 
-def _upsert(spark, c, s, supplier_key):
-    """Customers, a third of them upserted again, and suppliers under supplier_key."""
-    store = _store(spark)
+@add("""
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS balance FROM customer
+    UNION ALL SELECT -1 - s_suppkey, s_acctbal FROM supplier""")
+def upsert_merge(spark, sf_dir):
+    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    store = new_store(spark)
     store.create("account", "c_custkey long, balance double", Rules(["c_custkey"]))
     store.insert("account", c.select("c_custkey", F.col("c_acctbal").alias("balance")))
     new = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(100.0).alias("balance"))
-    new = new.unionByName(s.select(supplier_key.alias("c_custkey"), F.col("s_acctbal").alias("balance")))
+    new = new.unionByName(s.select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("balance")))  # no customer has a key below 0
     store.insert("account", new, "update", {"balance": "old.balance + excluded.balance"})
     return store.table("account")
 
 
-@add("""
-    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey <= 500
-    UNION ALL SELECT s_suppkey + 100000, s_acctbal FROM supplier WHERE s_suppkey <= 20""")
-def upsert_merge(spark, sf_dir):
-    return _upsert(spark, read(spark, sf_dir, "customer").where("c_custkey <= 500"), read(spark, sf_dir, "supplier").where("s_suppkey <= 20"), F.col("s_suppkey") + 100000)
-
-
-@add("""
-    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS balance FROM customer
-    UNION ALL SELECT -1 - s_suppkey, s_acctbal FROM supplier""")
-def upsert_merge_whole(spark, sf_dir):
-    return _upsert(spark, read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier"), -1 - F.col("s_suppkey"))  # no customer has a key below 0
-
-
-def _delete(spark, c):
-    store = _store(spark)
+@add("SELECT c_custkey, c_acctbal AS balance FROM customer WHERE c_acctbal < 0")
+def delete_returning(spark, sf_dir):
+    store = new_store(spark)
     store.create("account", "c_custkey long, balance double", Rules(["c_custkey"]))
-    store.insert("account", c.select("c_custkey", F.col("c_acctbal").alias("balance")))
+    store.insert("account", read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance")))
     return store.delete("account", "balance < 0")
 
 
-@add("SELECT c_custkey, c_acctbal AS balance FROM customer WHERE c_custkey <= 300 AND c_acctbal < 0")
-def delete_returning(spark, sf_dir):
-    return _delete(spark, read(spark, sf_dir, "customer").where("c_custkey <= 300"))
-
-
-@add("SELECT c_custkey, c_acctbal AS balance FROM customer WHERE c_acctbal < 0")
-def delete_returning_whole(spark, sf_dir):
-    return _delete(spark, read(spark, sf_dir, "customer"))
-
-
-def _travel(spark, c):
-    store = _store(spark)
+@add("SELECT c_custkey, c_acctbal AS balance FROM customer")
+def time_travel(spark, sf_dir):
+    store = new_store(spark)
     store.create("account", "c_custkey long, balance double", Rules(["c_custkey"], versioned=True))
-    store.insert("account", c.select("c_custkey", F.col("c_acctbal").alias("balance")), now=1000)
+    store.insert("account", read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance")), now=1000)
     store.update("account", {"balance": "0"}, "c_custkey % 2 = 0", now=2000)
     return store.as_of("account", 1500)
 
 
-@add("SELECT c_custkey, c_acctbal AS balance FROM customer WHERE c_custkey <= 200")
-def time_travel(spark, sf_dir):
-    return _travel(spark, read(spark, sf_dir, "customer").where("c_custkey <= 200"))
-
-
-@add("SELECT c_custkey, c_acctbal AS balance FROM customer")
-def time_travel_whole(spark, sf_dir):
-    return _travel(spark, read(spark, sf_dir, "customer"))
-
-
 @add("SELECT 'update' AS op, s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'insert', s_suppkey, s_acctbal FROM supplier")
 def change_feed(spark, sf_dir):
-    store = _store(spark)
+    store = new_store(spark)
     store.create("s", "s_suppkey long, s_nationkey int, s_acctbal double", Rules(["s_suppkey"]))
     store.insert("s", read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"))
     store.update("s", {"s_acctbal": "s_acctbal * 2"}, "s_nationkey = 3")

@@ -145,6 +145,17 @@ class Store:
                     theirs.foreign_keys = [fk | {"references": swap(fk["references"])} if fk["table"].lower() == name.lower() else fk for fk in theirs.foreign_keys]
                     self._apply(child, None, [], None, None, rules=theirs)
 
+    def add_rules(self, name: str, rules: Rules) -> None:
+        """New rules for a table, whose rows must keep them."""
+        now = self._state(name)
+        old = self.rules(name)
+        self._apply(name, None, [], None, None, rules=rules)
+        try:
+            self._check(name, self._read(now), self._read(now).limit(0))
+        except ConstraintError:
+            self._apply(name, None, [], None, None, rules=old)
+            raise
+
     # Reading.
     def _read(self, state: dict, buckets: list[int] | None = None) -> DataFrame:
         kinds = ", ".join(f"`{c}` {t}" for c, t in state["columns"])
