@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import graphs, relational, retrieval, scalars, stateful, statements
+from quillspark.plans import exchange, graphs, relational, retrieval, scalars, stateful, statements
 
-MODULES = (relational, scalars, retrieval, graphs, stateful, statements)
+MODULES = (relational, scalars, retrieval, graphs, stateful, statements, exchange)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -118,3 +118,99 @@ def graph_chain(spark, sf_dir):
     g = _graph(spark, sf_dir)
     seeds = g.nodes.where(F.col("id").between(SUPPLIER, SUPPLIER + 4)).select("id")
     return chain.Chain(g, seeds).out("LOCATED").in_("LIVES").filter_property("c_mktsegment", "BUILDING").ids()
+
+
+# The graph with trade: customer to supplier, weighted by the line items between them.
+def _trade(spark, sf_dir) -> model.Graph:
+    orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    sold = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("w"))
+    g = _graph(spark, sf_dir)
+    return g.with_edges(model.edges_from(sold, F.col("o_custkey") + CUSTOMER, F.col("l_suppkey") + SUPPLIER, "BUYS", F.col("w")))
+
+
+_T = _E + f""",
+    t AS (SELECT src, dst, w FROM e UNION ALL SELECT o_custkey + {CUSTOMER}, l_suppkey + {SUPPLIER}, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+
+
+def _ranks_sql(rounds: int) -> str:
+    ctes = [_T, "n AS (SELECT count(*)::DOUBLE AS n FROM nodes)", "d AS (SELECT src, count(*) AS deg FROM t GROUP BY src)", "s AS MATERIALIZED (SELECT t.src, dst, 1.0 / deg AS share FROM t JOIN d ON t.src = d.src)", "r0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM nodes, n)"]
+    for i in range(rounds):
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM d))")
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT id, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM r{i} LEFT JOIN (SELECT dst AS id, sum(share * rank) AS got FROM s JOIN r{i} ON src = id GROUP BY dst) USING (id), n, l{i})")
+    return f"WITH {', '.join(ctes)} SELECT id, round(rank, 8) AS rank FROM r{rounds}"
+
+
+@add(_ranks_sql(20))
+def graph_pagerank_rounds(spark, sf_dir):
+    return algorithms.pagerank(_trade(spark, sf_dir), tolerance=0.0).select("id", F.round("rank", 8).alias("rank"))
+
+
+@add(f"WITH {_T} SELECT id, count(src) AS degree FROM nodes LEFT JOIN t ON id = src GROUP BY id")
+def graph_degree_out(spark, sf_dir):
+    return _trade(spark, sf_dir).degree("out")
+
+
+@add(f"WITH {_T} SELECT src AS id, dst AS neighbour, w AS weight FROM t WHERE dst BETWEEN {SUPPLIER} AND {CUSTOMER - 1}")
+def graph_neighbours(spark, sf_dir):
+    g = _trade(spark, sf_dir)
+    return g.neighbours(g.nodes.where("label = 'Customer'").select("id"), "out", "buys").select("id", "neighbour", "weight")
+
+
+@add(f"WITH {_T} SELECT count(*) AS edges, (SELECT count(*) FROM nodes) - 25 AS nodes FROM t WHERE NOT (src BETWEEN {NATION} AND {NATION + 24}) AND NOT (dst BETWEEN {NATION} AND {NATION + 24})")
+def graph_remove_nodes(spark, sf_dir):
+    g = _trade(spark, sf_dir)
+    left = g.without_nodes(g.nodes.where("label = 'Nation'").select("id"))
+    return left.edges.agg(F.count(F.lit(1)).alias("edges")).crossJoin(left.nodes.agg(F.count(F.lit(1)).alias("nodes")))
+
+
+@add(f"WITH {_T} SELECT count(*) AS edges FROM t WHERE NOT src BETWEEN {SUPPLIER} AND {CUSTOMER - 1}")
+def graph_remove_edges(spark, sf_dir):
+    g = _trade(spark, sf_dir)
+    return g.without_edges(g.edges.where("label = 'LOCATED'"), "located").edges.agg(F.count(F.lit(1)).alias("edges"))
+
+
+@add(f"""
+    WITH RECURSIVE {_E}, b(id, d) AS (SELECT {CUSTOMER + 1}::BIGINT, 0 UNION SELECT dst, d + 1 FROM b JOIN e ON b.id = src WHERE d < 6) SELECT max(d) AS steps FROM (SELECT id, min(d) AS d FROM b GROUP BY id) WHERE id = 2""")
+def graph_path_unweighted(spark, sf_dir):
+    return algorithms.shortest_path(_graph(spark, sf_dir), CUSTOMER + 1, 2, weighted=False).agg(F.max("step").alias("steps"))
+
+
+@add(f"WITH RECURSIVE {_E}, b(id, c, n) AS (SELECT {CUSTOMER + 1}::BIGINT, 0.0::DOUBLE, 0 UNION SELECT dst, c + w, n + 1 FROM b JOIN e ON b.id = src WHERE n < 40) SELECT round(min(c), 4) AS cost FROM b WHERE id = 2")
+def graph_path_cost(spark, sf_dir):
+    return algorithms.shortest_path(_graph(spark, sf_dir), CUSTOMER + 1, 2).agg(F.round(F.max("total_cost"), 4).alias("cost"))
+
+
+@add(f"""
+    WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), b(id, d) AS (SELECT 2::BIGINT, 0 UNION SELECT u.b, d + 1 FROM b JOIN u ON b.id = u.a WHERE d < 2), s AS (SELECT DISTINCT id FROM b)
+    SELECT (SELECT count(*) FROM s) AS nodes, count(*) AS edges FROM e WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)""")
+def graph_subgraph(spark, sf_dir):
+    s = algorithms.subgraph(_graph(spark, sf_dir), 2, 2)
+    return s.nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(s.edges.agg(F.count(F.lit(1)).alias("edges")))
+
+
+@add(f"WITH {_E} SELECT a.id AS src, b.id AS dst, EXISTS (SELECT 1 FROM e WHERE src = a.id AND dst = b.id) AS found FROM nodes a, nodes b WHERE a.id BETWEEN {NATION} AND {NATION + 24} AND b.id < 5")
+def graph_has_edges(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    pairs = g.nodes.where("label = 'Nation'").select(F.col("id").alias("src")).crossJoin(F.broadcast(g.nodes.where("label = 'Region'").select(F.col("id").alias("dst"))))  # five regions
+    return algorithms.has_edges(g, pairs)
+
+
+@add(f"SELECT s_suppkey + {SUPPLIER} AS id, 1.0::DOUBLE AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1")
+def chain_matches(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return chain.Chain(g, g.nodes.where("id = 1").select("id")).in_("IN").in_("LOCATED").matches().select("id", "score")
+
+
+@add(f"WITH RECURSIVE {_E} SELECT n_nationkey + {NATION} AS id, 1 AS depth FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1, 0")
+def graph_rag_filtered(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    open_ = model.Graph(g.nodes.withColumn("properties", F.when(F.col("label").isin("Nation", "Region"), F.regexp_replace("properties", r"^\{", '{"tenant": "t", ')).otherwise(F.col("properties"))), g.edges.where("label = 'IN'"))
+    seeds = spark.createDataFrame([(1, 0.9), (CUSTOMER + 1, 0.8)], "id long, score double")
+    return chain.graph_rag(open_, seeds, "nation", hops=1, limit=1000, tenant="t").select("id", "depth")
+
+
+@add(f"SELECT count(*) + 2 AS nodes, (SELECT count(*) FROM region) AS old FROM region")
+def cypher_create(spark, sf_dir):
+    g = cypher.create(cypher.create(_graph(spark, sf_dir), "CREATE (:Region {r_name: 'NEW'})"), "CREATE (:Region {r_name: 'NEWER'})")
+    n = g.nodes.where("label = 'Region'").count()
+    return spark.createDataFrame([(n, g.nodes.where("label = 'Region' and properties not like '%NEW%'").count())], "nodes long, old long")

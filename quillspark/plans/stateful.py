@@ -113,3 +113,62 @@ def memory_upsert(spark, sf_dir):
     old = _entries(spark, sf_dir)
     new = old.where("id % 10 = 0").withColumn("content", F.concat("content", F.lit("!"))).withColumn("namespace", F.upper("namespace"))
     return memory.upsert(old, new, NOW).select("id", "revision", "sha256")
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    """CTEs over device_memory: m (a row a record), s (id, norm): the normalised BM25 scores of a query's terms."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""
+    m AS (SELECT DISTINCT ON (mem_id) mem_id AS id, content, coalesce(importance, 0.5) AS importance, namespace, exp(-ln(2) * greatest(0, {NOW} - floor(epoch_us(created_at) / 1000000)) / 2592000) AS r,
+        expires_at IS NULL OR floor(epoch_us(expires_at) / 1000000) > {NOW} AS alive FROM device_memory),
+    d AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_-]+'), lambda t: strlen(t) > 1) AS t FROM m WHERE alive),
+    n AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS avgdl FROM d), q AS (SELECT unnest([{listed}]) AS term),
+    tf AS (SELECT id, len(t) AS dl, q.term, len(list_filter(t, lambda x: x = q.term)) AS tf FROM d, q), f AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY term),
+    w AS (SELECT id, sum(greatest(0.1, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN f USING (term), n WHERE tf > 0 GROUP BY id),
+    s AS (SELECT id, score, score / (SELECT max(score) FROM w) AS norm FROM w)"""
+
+
+_TERMS = ["vector", "index", "recovery", "log"]
+
+
+@add(f"WITH {_bm25_sql(_TERMS)} SELECT id, round(0.35 * norm + 0.1 * r + 0.1 * importance, 6) AS score FROM s JOIN m USING (id)".replace("\\\\", "\\"))
+def memory_recall_words(spark, sf_dir):
+    return memory.recall(_entries(spark, sf_dir), "vector index recovery log", now=NOW, k=1 << 30).select("id", F.round("score", 6).alias("score"))
+
+
+@add(f"WITH {_bm25_sql(_TERMS)} SELECT id, round(0.35 * norm + 0.1 * r + 0.1 * importance, 6) AS score FROM s JOIN m USING (id) WHERE 0.35 * norm + 0.1 * r + 0.1 * importance >= 0.25".replace("\\\\", "\\"))
+def memory_recall_min_score(spark, sf_dir):
+    return memory.recall(_entries(spark, sf_dir), "vector index recovery log", now=NOW, k=1 << 30, min_score=0.25).select("id", F.round("score", 6).alias("score"))
+
+
+@add(f"""
+    WITH {_bm25_sql(_TERMS)}, x AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS k FROM s ORDER BY score DESC, id LIMIT 128)
+    SELECT id, round(0.8 * 21.0 / (20 + k) + 0.1 * r + 0.1 * importance, 6) AS score FROM x JOIN m USING (id)""".replace("\\\\", "\\"))
+def memory_search_indexed(spark, sf_dir):
+    return memory.search_indexed(_entries(spark, sf_dir), "vector index recovery log", now=NOW, k=1000).select("id", F.round("score", 6).alias("score"))
+
+
+@add(f"""
+    WITH m AS (SELECT DISTINCT ON (mem_id) * FROM device_memory), x AS (SELECT mem_id FROM m WHERE floor(epoch_us(expires_at) / 1000000) <= {NOW})
+    SELECT mem_id AS id, CASE WHEN mem_id + 1 IN (SELECT mem_id FROM x) THEN 0 ELSE 1 END AS n FROM m WHERE mem_id NOT IN (SELECT mem_id FROM x)""")
+def memory_purge(spark, sf_dir):
+    return memory.purge(_entries(spark, sf_dir), NOW).select("id", F.size("associations").alias("n"))
+
+
+@add("SELECT DISTINCT mem_id AS id FROM device_memory WHERE namespace IS NULL OR lower(namespace) <> (SELECT min(lower(namespace)) FROM device_memory)")
+def memory_delete_scoped(spark, sf_dir):
+    e = _entries(spark, sf_dir)
+    first = e.agg(F.min(F.lower("namespace"))).first()[0]
+    return memory.delete_scoped(e, memory.Scope(namespace=first.upper())).select("id")
+
+
+@add("SELECT 1 AS stale, count(DISTINCT mem_id) AS n FROM device_memory")
+def memory_compare_and_set(spark, sf_dir):
+    old = _entries(spark, sf_dir)
+    stale = 0
+    try:
+        memory.compare_and_set(old, old.withColumn("expected_revision", F.lit(7)), NOW)
+    except memory.RevisionError:
+        stale = 1
+    new = memory.compare_and_set(old, old.withColumn("expected_revision", F.lit(1)), NOW)
+    return new.agg(F.lit(stale).alias("stale"), F.count_if(F.expr("revision = 2 or external_id is null")).alias("n"))

@@ -60,7 +60,7 @@ _add("generated_column", "SELECT c_custkey AS id, c_acctbal * 3 AS triple FROM c
 _add("create_table_as", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1", "CREATE TABLE s AS SELECT seg, count(*) AS n FROM acc GROUP BY seg", "SELECT * FROM s")
 _add("view_reference", "SELECT count(*) AS n FROM customer WHERE c_acctbal > 0", "CREATE VIEW rich AS SELECT * FROM acc WHERE balance > 0", "SELECT count(*) AS n FROM rich")
 _add("alter_columns", "SELECT c_custkey AS id, c_acctbal AS amount, 7 AS extra FROM customer", "ALTER TABLE acc ADD COLUMN extra INTEGER DEFAULT 7", "ALTER TABLE acc RENAME COLUMN balance TO amount", "ALTER TABLE acc DROP COLUMN seg", "SELECT id, amount, extra FROM acc")
-_add("pragma_table_info", "SELECT * FROM (VALUES (0, 'id', 'bigint', 1, NULL, 1), (1, 'balance', 'double', 1, NULL, 0), (2, 'seg', 'string', 0, '''none''', 0)) t(cid, name, type, "notnull", dflt_value, pk)", "PRAGMA table_info(acc)")
+_add("pragma_table_info", "SELECT * FROM (VALUES (0, 'id', 'bigint', 1, NULL, 1), (1, 'balance', 'double', 1, NULL, 0), (2, 'seg', 'string', 0, '''none''', 0)) t(cid, name, type, \"notnull\", dflt_value, pk)", "PRAGMA table_info(acc)")
 _add("analyze_table", "SELECT 'acc' AS \"table\", 'id' AS \"column\", count(*) AS rows, 0 AS nulls, min(c_custkey)::VARCHAR AS least, max(c_custkey)::VARCHAR AS greatest FROM customer", "ANALYZE acc", "SELECT 1")
 QUERIES["analyze_table"] = lambda spark, sf_dir: _run("ANALYZE acc")(spark, sf_dir).where("column = 'id'").select("table", "column", "rows", "nulls", "least", "greatest")
 _add("time_travel_sql", _ACC, "CREATE TABLE v (id INTEGER PRIMARY KEY, balance REAL, seg TEXT) WITH SYSTEM VERSIONING", "SELECT 1")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import csv
-import glob
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.hadoop import FileSystem
+
 #: Formats by ending.
 ENDINGS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "tsv": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "xlsx": "xlsx", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "sql": "dump", "txt": "text", "text": "text", "md": "text", "markdown": "text"}
 _SEPARATORS = ",\t;|"
@@ -25,12 +25,15 @@ def infer_format(path: str) -> str:
 
 
 def discover(pattern: str, format: str | None = None) -> list[str]:
-    """Files of a path, directory or glob (with ** for any depth), sorted; hidden and marker files are left out."""
-    if os.path.isdir(pattern):
-        found = glob.glob(os.path.join(pattern, "**"), recursive=True)
-    else:
-        found = glob.glob(pattern, recursive=True)
-    keep = [p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))]
+    """Files of a path, directory or glob (with ** for any depth) on any storage, sorted; hidden and marker files are left out."""
+    fs = FileSystem(SparkSession.active(), pattern)
+    base, deep, rest = pattern.partition("**")
+    found = fs.files(base.rstrip("/") or "/" if deep else pattern)
+    if deep and rest.strip("/"):
+        last = re.compile(".*/" + "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in rest.strip("/")) + "$")
+        found = [f for f in found if last.match(f)]
+    inner = len(_root(pattern).rstrip("/")) + 1
+    keep = [p for p in found if not any(x.startswith(("_", ".")) for x in (p[inner:] or p.rpartition("/")[2]).split("/"))]
     if format:
         keep = [p for p in keep if (e := re.sub(r"\.gz$", "", p.lower()).rpartition(".")[2]) in ENDINGS and ENDINGS[e] == format]
     if not keep:
@@ -60,7 +63,7 @@ def _root(pattern: str) -> str:
 
 def _base(pattern: str) -> str:
     root = _root(pattern)
-    return root if os.path.isdir(root) else os.path.dirname(root)
+    return root if FileSystem(SparkSession.active(), root).is_dir(root) else root.rpartition("/")[0]
 
 
 def read_parquet(spark: SparkSession, pattern: str) -> DataFrame:
@@ -101,7 +104,9 @@ def read_csv(spark: SparkSession, pattern: str, sep: str | None = None, infer: b
     if head is None:
         return spark.createDataFrame([], T.StructType([]))
     sep = sep or sniff(head[0].lstrip("﻿"))
-    reader = spark.read.option("basePath", _base(pattern)).options(header=True, sep=sep, quote='"', escape='"', multiLine=True, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=False)
+    # Only a file with a quoted line break can't be split: one with a line that opens a quote and doesn't close it.
+    broken = not spark.read.text(files).where(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
+    reader = spark.read.option("basePath", _base(pattern)).options(header=True, sep=sep, quote='"', escape='"', multiLine=broken, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=False)
     df = reader.csv(files)
     names = clean_names(next(csv.reader([head[0].lstrip("\ufeff")], delimiter=sep)))
     df = df.toDF(*names, *df.columns[len(names) :])  # partition columns stand last
@@ -125,7 +130,7 @@ def read_any(spark: SparkSession, pattern: str, format: str | None = None, **opt
     """Whatever the format is, given or by the ending."""
     from quillspark.sources import foreign, texts
 
-    kind = format or infer_format(pattern if not os.path.isdir(pattern) else discover(pattern)[0])
+    kind = format or infer_format(pattern if not FileSystem(spark, pattern).is_dir(pattern) else discover(pattern)[0])
     match kind:
         case "parquet":
             return read_parquet(spark, pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import sqlite3
 import xml.etree.ElementTree as ET
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -141,8 +143,10 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
 
 
 def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1", most: int = 1_048_575) -> int:
-    """A workbook of one sheet with at most most rows, in the order of the table; the number of rows written."""
-    rows = df.limit(most).toPandas()
+    """A workbook of one sheet, in the order of the table; the number of rows written. A table of more rows than a sheet has is refused."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a sheet holds at most {most} rows")
 
     def cell(v) -> str:
         if v is None or v != v:
@@ -240,40 +244,76 @@ def _columns_of(body: str) -> list[tuple[str, str]]:
 def read_dump(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """A table of a SQL dump (PostgreSQL COPY, MySQL or SQLite INSERT); without a name the first that has a definition.
 
-    A dump is a stream of statements, so one process parses it; SET, PRAGMA, ALTER, DROP, LOCK and comments are skipped.
+    A dump is a stream of statements, so one task parses it, and sends rows on in batches; the path must be one that the
+    executors see. SET, PRAGMA, ALTER, DROP, LOCK and comments are skipped.
     """
-    wanted, defs, rows = _name(table) if table else None, {}, []
-    with open(path, encoding="utf-8", errors="replace") as f:
+    wanted, columns = _name(table) if table else None, None
+    with open(path, encoding="utf-8", errors="replace") as f:  # up to the definition, or the first rows
         for st in _statements(f):
             if isinstance(st, tuple):
                 m = _COPY.match(st[0])
-                name, cols = _name(m[1]), [_name(c) for c in (m[2] or "").split(",") if c.strip()]
-                if name == (wanted or name):
-                    wanted = wanted or name
-                    rows += [(cols, [None if x == "\\N" else re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), x) for x in line.split("\t")]) for line in st[1]]
-            elif m := _CREATE.match(st):
-                defs[_name(m[1])] = _columns_of(m[2])
-                wanted = wanted or _name(m[1])
+                if _name(m[1]) == (wanted or _name(m[1])):
+                    wanted, columns = _name(m[1]), columns or [(_name(c), "string") for c in (m[2] or "").split(",") if c.strip()]
+                    break
+            elif (m := _CREATE.match(st)) and _name(m[1]) == (wanted or _name(m[1])):
+                wanted, columns = _name(m[1]), _columns_of(m[2])
+                break
             elif (m := _INSERT.match(st)) and _name(m[1]) == (wanted or _name(m[1])):
-                wanted = wanted or _name(m[1])
-                cols = [_name(c) for c in (m[2] or "").split(",") if c.strip()]
-                rows += [(cols, r) for r in _tuples(m[3])]
-    if wanted is None or (wanted not in defs and not rows):
+                first = next(_tuples(m[3]), [])
+                wanted, columns = _name(m[1]), [(_name(c), "string") for c in (m[2] or "").split(",") if c.strip()] or [(f"col_{i}", "string") for i in range(len(first))]
+                break
+    if not columns:
         raise ValueError(f"no table {table or ''} in {path}")
-    columns = defs.get(wanted) or [(c, "string") for c in rows[0][0] or [f"col_{i}" for i in range(len(rows[0][1]))]]
-    names = [n for n, _ in columns]
-    data = []
-    for cols, values in rows:
-        found = dict(zip(cols or names, values))
-        data.append(tuple(_cast(found.get(n), k) for n, k in columns))
-    return spark.createDataFrame(data, ", ".join(f"`{n}` {k}" for n, k in columns))
-
-
-def write_dump(df: DataFrame, path: str, table: str) -> None:
-    """A directory of INSERT statements, a file a task, with the table's definition beside them."""
-    lit = [F.coalesce(F.col(f"`{c}`").cast("string") if t in ("bigint", "int", "double", "float", "smallint") else F.concat(F.lit("'"), F.replace(F.col(f"`{c}`").cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")) for c, t in df.dtypes]
-    line = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *lit), F.lit(");"))
-    df.select(line.alias("value")).write.mode("error").text(path)
+    names, kinds, name = [n for n, _ in columns], dict(columns), wanted
+
+    def rows() -> Iterator[tuple]:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            for st in _statements(f):
+                if isinstance(st, tuple):
+                    m = _COPY.match(st[0])
+                    listed, values = m[2], ([None if x == "\\N" else re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), x) for x in line.split("\t")] for line in st[1])
+                elif m := _INSERT.match(st):
+                    listed, values = m[2], _tuples(m[3])
+                else:
+                    continue
+                if _name(m[1]) != name:
+                    continue
+                cols = [_name(c) for c in (listed or "").split(",") if c.strip()] or names
+                for v in values:
+                    found = dict(zip(cols, v))
+                    yield tuple(_cast(found.get(n), kinds[n]) for n in names)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in columns)
+    kind = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        todo = rows()
+        while block := list(itertools.islice(todo, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block), kind)], schema=kind)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(parse, schema)
+
+
+def write_dump(df: DataFrame, path: str, table: str, style: str = "insert") -> None:
+    """A directory of INSERT statements, or of COPY blocks with style copy, a file a task, with the table's definition beside them."""
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+    if style == "copy":
+        escaped = lambda c: F.coalesce(F.replace(F.replace(F.replace(F.replace(F.col(f"`{c}`").cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\\N"))
+        head = f"COPY {table} ({', '.join(df.columns)}) FROM stdin;"
+
+        def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one = lambda x: pa.RecordBatch.from_arrays([x], names=["value"])
+            yield one(pa.array([head]))
+            for b in batches:
+                yield one(b.column(0))
+            yield one(pa.array(["\\."]))
+
+        df.select(F.concat_ws("\t", *map(escaped, df.columns)).alias("value")).mapInArrow(block, "value string").write.mode("error").text(path)
+    else:
+        lit = [F.coalesce(F.col(f"`{c}`").cast("string") if t in ("bigint", "int", "double", "float", "smallint") else F.concat(F.lit("'"), F.replace(F.col(f"`{c}`").cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")) for c, t in df.dtypes]
+        line = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *lit), F.lit(");"))
+        df.select(line.alias("value")).write.mode("error").text(path)
     ddl = f"CREATE TABLE {table} ({', '.join(f'{c} {kinds.get(t, "TEXT")}' for c, t in df.dtypes)});"
     df.sparkSession.createDataFrame([(ddl,)], "value string").coalesce(1).write.mode("error").text(f"{path}.schema")
