@@ -5,30 +5,36 @@
   the size of the result. A copy leaves next to nothing, a reply that repeats the question and then answers leaves the
   answer.
 - refusal: after greetings are taken off, each sentence matches the refusal dictionary of a language.
-- other_language: language dictionaries, grown from seeds on a bounded sample, give another language than the prompt's,
-  and the prompt names no language by which the reply's was asked for.
-- truncated: a reply without final mark whose last words, by a terminal-context model, hardly ever end a sentence.
-
-The two models are fitted on at most ``SAMPLE_ROWS`` rows (chosen by a hash of the key); every row is judged, in one
-pass without a shuffle but the last, which settles repeated keys.
+- other_language: language dictionaries, grown from seeds, give another language than the prompt's, and the prompt names no
+  language by which the reply's was asked for.
+- truncated: a reply without final mark, or with an ellipsis, whose last words, by a terminal-context model, hardly ever
+  end a sentence.
+
+Dictionaries and contexts are counted over all rows. Of the contexts only those at the ends of replies are asked for, so
+their hashes set the bits of a bounded table first (in tasks), then all replies are counted for the contexts in the table,
+and the counts reach the replies that ask for them by a join. A context that shares a slot with another is counted too,
+which changes nothing.
 """
 
 from __future__ import annotations
 
-import bisect
+import functools
 import itertools
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the fitting sample.
-SAMPLE_ROWS = 20_000
+#: Inverse of the share of all (text, word) rows from which a word can be in a language dictionary: there are fewer words than that.
+VOCABULARY = 200_000
+#: Bits of the table of contexts asked for, per context, and at most (over that, more contexts than asked for are counted).
+ASKED_BITS, MOST_BITS = 16, 27
 
 # Seeds of the language dictionaries, names of languages, placeholders, greetings, quoting phrases and refusal wordings.
 SEEDS = {
@@ -51,7 +57,7 @@ LEADS = (
     "sie haben gefragt", "su pregunta", "usted preguntó", "tu pregunta", "preguntó", "pertanyaan anda", "soalan",
 )
 GREETING = re.compile(
-    r"^(?:(?:hello|hi|hey|hai|salam|bonjour|salut|hallo|guten tag|hola|buenos días|thank you for (?:your message|asking)|thanks for (?:your message|asking)|terima kasih atas (?:mesej|soalan) anda|terima kasih"
+    r"^[¡¿\"'(\s]*(?:(?:hello|hi|hey|hai|salam|bonjour|salut|hallo|guten tag|hola|buenos días|thank you for (?:your message|asking)|thanks for (?:your message|asking)|terima kasih atas (?:mesej|soalan) anda|terima kasih"
     r"|merci (?:pour|de) (?:votre message|votre question)|vielen dank für ihre (?:nachricht|frage)|danke für ihre (?:nachricht|frage)|gracias por su (?:mensaje|pregunta))\b[ ,]*[.!,;:]+\s*)+",
     re.I,
 )
@@ -75,12 +81,15 @@ _TOKEN = re.compile(r"[^\W_]+(?:[-_./'’·][^\W_]+)*|[.!?…。！？]+|[,;:()]
 _END = re.compile(r"[.!?…。！？]['\"»”’)\]*_`]*$")
 _SPACE, _LETTERS = re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]{3}")
 _MARK = re.compile(r"^[.!?…。！？]")
+_ELLIPSIS = re.compile(r"\s*(?:…|\.{3,})$")
 _BREAK, _LETTER = re.compile(r"(?<=[.!?])\s+|\n+"), re.compile(r"\w")
 #: Novel bytes up to which a reply is a copy.
 COPY_BYTES = 18
 #: A reply whose chance to end there is under this is truncated.
 END_CHANCE = 0.12
 _CONTEXT, _SMOOTH, _RARE, _SHORT = 4, 0.7, 3, 12
+#: Rows of a batch that is counted at once.
+_ROWS = 5000
 
 
 def is_empty(reply: str | None) -> bool:
@@ -105,6 +114,15 @@ def plain(text: str) -> str:
 _LEAD_BYTES = (" ".join(plain(x) for x in LEADS) + " ").encode()
 _LEAD_WORDS = frozenset(_LEAD_BYTES.decode().split())
 _MAGIC = 6
+_BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def _coarse(text: str) -> list[bytes]:
+    """Words in lower case; marks beyond ASCII stay with them."""
+    return text.lower().encode("utf-8", "replace").translate(_BLANKS).split()
+
+
+_LEAD_COARSE = frozenset(_coarse(" ".join(LEADS)))
 
 
 def novel_bytes(prompt: str, reply: str) -> int:
@@ -122,6 +140,10 @@ def is_copy(prompt: str | None, reply: str) -> bool:
     """True if the reply gives most of the prompt back and nothing else. Compression runs where lengths and words allow a copy at all."""
     if not prompt:
         return False
+    # Before marks of all kinds are taken off: far too many words of its own.
+    own = set(_coarse(reply))
+    if 10 * len(own.difference(_coarse(prompt), _LEAD_COARSE)) > 8 * len(own):
+        return False
     p, r = plain(prompt), plain(reply)
     if not p or len(r) < 0.7 * len(p) or len(r) < 8:
         return False
@@ -148,155 +170,182 @@ def is_refusal(reply: str) -> bool:
 
 
 class Languages:
-    """Word dictionaries per language."""
-
-    def __init__(self, texts: list[str]) -> None:
-        self.words = {}
-        seen = Counter(w for lang in LANGS for w in SEEDS[lang].split())
-        for lang in LANGS:
-            for w in SEEDS[lang].split():
-                if seen[w] == 1:
-                    self.words[w] = lang
-        for _ in range(2):
-            counts: dict[str, Counter] = defaultdict(Counter)
-            totals: Counter = Counter()
-            for t in texts:
-                lang = self.of(t)
-                if lang:
-                    for w in set(_WORD.findall(t.lower())):
-                        counts[w][lang] += 1
-                        totals[lang] += 1
-            grown = {}
-            for w, c in counts.items():
-                rate = sorted(((c[x] / totals[x], x) for x in c), reverse=True)
-                if c[rate[0][1]] >= 5 and (len(rate) == 1 or rate[0][0] > 8 * rate[1][0]):
-                    grown[w] = rate[0][1]
-            self.words = grown or self.words
+    """Word dictionaries per language: the seeds, or those grown from them."""
+
+    def __init__(self, words: dict[bytes, str] | None = None) -> None:
+        if words is None:
+            each = {lang: {x for w in SEEDS[lang].split() for x in _coarse(w)} for lang in LANGS}
+            words = {w: lang for lang in LANGS for w in each[lang] if sum(w in x for x in each.values()) == 1}
+        self.words = words
 
     def of(self, text: str) -> str | None:
         """The language, or None if there are under two words for it or another has a third as many."""
-        votes: dict[str, int] = {}
-        get = self.words.get
-        for w in _WORD.findall(text.lower()):
-            x = get(w)
-            if x:
-                votes[x] = votes.get(x, 0) + 1
+        votes = Counter(map(self.words.get, _coarse(text)))
+        rest = votes.pop(None, 0)
         if not votes:
             return None
-        top = max(votes, key=votes.get)
-        rest = sum(votes.values()) - votes[top]
-        return top if votes[top] >= 2 and votes[top] > 3 * rest else None
-
-
-class Terminal:
-    """How often the last words of a reply are the last of a sentence, by contexts of one to four words with back-off."""
-
-    def __init__(self, texts: list[str]) -> None:
-        lists = [_TOKEN.findall(t) for t in texts]
-        seen = Counter(w.lower() for x in lists for w in x)
-        self.known = {w for w, n in seen.items() if n >= _RARE}
-        self.ends: Counter = Counter()
-        self.all: Counter = Counter()
-        whole: Counter = Counter()
-        for t, raw in zip(texts, lists):
-            words = [self._class(w) for w in raw]
-            if 0 < len(raw) <= _SHORT and raw[-1][-1].isalnum():
-                whole[self._shape(raw)] += 1
-            for i in range(len(words) - 1):
-                if words[i] in ".,":
-                    continue
-                end = words[i + 1] == "."
-                for k in range(1, _CONTEXT + 1):
-                    if i - k + 1 < 0:
-                        break
-                    c = tuple(words[i - k + 1 : i + 1])
-                    self.all[c] += 1
-                    self.ends[c] += end
-        for c in [c for c, n in self.all.items() if n < 2 and len(c) > 1]:
-            del self.all[c], self.ends[c]
-        shapes = sorted(self._shape(raw[: _SHORT + 3]) for raw in lists)
-
-        def goes_on(x: str) -> int:
-            near = shapes[bisect.bisect_left(shapes, x) : bisect.bisect_right(shapes, x + "\uffff")]
-            return sum(y[len(x) :].lstrip()[:1].isalnum() for y in near)
-
-        self.whole = {x for x, n in whole.items() if n >= 2 and n > goes_on(x)}
-        n = len(texts) or 1
-        self.base = min(0.5, n / max(n, sum(v for c, v in self.all.items() if len(c) == 1)))
-
-    def _class(self, w: str) -> str:
-        if _MARK.match(w):
-            return "."
-        if w in ",;:()":
-            return ","
-        if any(c.isdigit() for c in w):
-            return "#"
-        low = w.lower()
-        return low if low in self.known else ("<Name>" if w[0].isupper() and len(w) > 4 else "<unknown>")
-
-    @staticmethod
-    def _shape(tokens: list[str]) -> str:
-        return " ".join("#" if any(c.isdigit() for c in w) else w.lower() for w in tokens)
-
-    def chance(self, text: str) -> float:
-        words = [self._class(w) for w in _TOKEN.findall(text[-400:])][-_CONTEXT:]
-        if not words:
-            return self.base
-        if words[-1] == "," or words[-1] == "<unknown>":
-            return 0.0
-        p = self.base
-        for k in range(1, len(words) + 1):
-            c = tuple(words[-k:])
-            n = self.all.get(c, 0)
-            if not n:
-                break
-            p = (self.ends.get(c, 0) + _SMOOTH * p) / (n + _SMOOTH)
-        return p
-
-    def truncated(self, reply: str) -> bool:
-        """No final mark, code or symbol at the end, no short reply that is given as a whole elsewhere, and an unlikely end."""
-        t = reply.rstrip()
-        if _END.search(t):
-            return False
-        if t[-1] in ",(-–—:[{/&+=" or t[-2:] in (" '", ' "'):
-            return not t.endswith((":-)", ":-("))
-        if not t[-1].isalnum():
-            return False
-        tail = _TOKEN.findall(t[-400:])
-        if len(t) < 120 and self._shape(tail) in self.whole:
-            return False
-        if t.rfind("(") > t.rfind(")"):
-            return True
-        return self.chance(t) < END_CHANCE
+        top, n = votes.most_common(1)[0]
+        rest = votes.total() - n
+        return top if n >= 2 and n > 3 * rest else None
+
+
+def language_words(counts: DataFrame) -> dict[bytes, str]:
+    """The dictionary from (w, lang, n), the texts of each language that hold a word: words eight times commoner in one language than in any other."""
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
+    if not totals:
+        return Languages().words
+    rate = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for p in totals.items() for x in (p[0], float(p[1])))), F.col("lang"))
+    best = counts.withColumn("rate", rate).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("rate", "lang", "n")), asc=False).alias("x"))  # one struct a language
+    second = F.when(F.size("x") > 1, F.col("x")[1]["rate"]).otherwise(0.0)
+    picked = best.where((F.col("x")[0]["n"] >= max(5, sum(totals.values()) / VOCABULARY)) & (F.col("x")[0]["rate"] > 8 * second))
+    return {bytes(r.w): r.lang for r in picked.select("w", F.col("x")[0]["lang"].alias("lang")).collect()} or Languages().words  # no more than VOCABULARY
+
+
+# The terminal-context model. Tokens are words in lower case, # for those with a figure, and marks: . for the end of a sentence, , for others, an ellipsis too.
+_OPEN = np.uint64(0x5851F42D4C957F2D)
+_SEED, _MULTIPLY = 0x2545F4914F6CDD1D, np.uint64(0x9E3779B97F4A7C15)
+
+
+def tokens_of(text: str) -> list[str]:
+    return ["," if w in ",;:()" or w[0] == "…" or w[:2] == ".." else "." if _MARK.match(w) else "#" if any(c.isdigit() for c in w) else w for w in _TOKEN.findall(text.lower())]
+
+
+def _hashed(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+
+
+def _chain(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (h ^ word) * _MULTIPLY
+    return x ^ (x >> np.uint64(31))
+
+
+def contexts(words: list[int], whole: bool) -> list[int]:
+    """Hashes of the last one to four of a text's words (as hashes), and of all of them as a beginning if there are few."""
+    out = []
+    for k in range(1, min(_CONTEXT, len(words)) + 1):
+        h = np.array([_SEED + k], "u8")
+        for w in words[-k:]:
+            h = _chain(h, np.array([w], "u8"))
+        out.append(int(h[0]))
+    if whole:
+        h = before = np.array([_SEED], "u8")
+        for w in words:
+            h, before = _chain(h, np.array([w], "u8")), h
+        out += [int(h[0]), int((before ^ _OPEN)[0])]
+    return out
+
+
+def _counted(words: list[list[str]], hashed: Callable[[str], int], asked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, all, ends) of the contexts of texts that are asked for: how often they stand, and how often a sentence (a beginning: the text) ends there.
+
+    A beginning is gone on with inside a word too: a text whose next word is longer counts for it.
+    """
+    texts, dot, comma = [[hashed(w) for w in t] for t in words], hashed("."), hashed(",")
+    size = np.array([len(t) for t in texts], "i8")
+    flat = np.fromiter(itertools.chain.from_iterable(texts), "u8", int(size.sum()))
+    first = np.cumsum(size) - size
+    place = np.arange(len(flat)) - np.repeat(first, size)
+    left = np.repeat(size, size) - place - 1  # tokens after this one
+    after = np.r_[flat[1:], np.zeros(1, "u8")]
+    is_mark = (flat == dot) | (flat == comma)
+    hashes, ends = [], []
+    for k in range(1, _CONTEXT + 1):
+        at = np.flatnonzero((place >= k - 1) & (left > 0) & ~is_mark)
+        h = np.full(len(at), _SEED + k, "u8")
+        for j in range(k - 1, -1, -1):
+            h = _chain(h, flat[at - j])
+        on = asked(h)
+        hashes.append(h[on])
+        ends.append(after[at[on]] == dot)
+    h, doc = np.full(len(texts), _SEED, "u8"), np.arange(len(texts))
+    for m in range(_SHORT):  # beginnings, a word longer each time
+        doc = doc[size[doc] > m]
+        for i in doc[asked(h[doc] ^ _OPEN)].tolist():
+            w = words[i][m]
+            parts = _chain(np.repeat(h[i : i + 1], max(0, len(w) - 1)), np.array([hashed(w[:j]) for j in range(1, len(w))], "u8"))
+            parts = parts[asked(parts)]
+            hashes.append(parts)
+            ends.append(np.zeros(len(parts), bool))
+        h[doc] = _chain(h[doc], flat[first[doc] + m])
+        over = size[doc] == m + 1
+        goes_on = ~over & ~is_mark[np.minimum(first[doc] + m + 1, len(flat) - 1)]
+        mine = doc[over | goes_on]
+        on = asked(h[mine])
+        hashes.append(h[mine[on]])
+        ends.append((size[mine] == m + 1)[on])
+    hashes, ends = np.concatenate(hashes), np.concatenate(ends)
+    value, at = np.unique(hashes, return_inverse=True)
+    return value, np.bincount(at, minlength=len(value)), np.bincount(at, weights=ends, minlength=len(value)).astype("i8")
+
+
+def ends_openly(reply: str) -> tuple[bool, list[str], bool]:
+    """(True if a reply is truncated for its last mark alone, the words whose context must tell, whether they may be a reply as a whole).
+
+    No words where the reply ends with a final mark, code or a symbol. An ellipsis is taken off: what stands before it tells.
+    """
+    t = reply.rstrip()
+    bare = _ELLIPSIS.sub("", t)
+    if bare != t and bare:
+        t = bare.rstrip()
+    elif _END.search(t):
+        return False, [], False
+    if t[-1] in ",(-–—:[{/&+=" or t[-2:] in (" '", ' "'):
+        return not t.endswith((":-)", ":-(")), [], False
+    if not t[-1].isalnum():
+        return False, [], False
+    tail = tokens_of(t if len(t) <= 400 else t[-400:].partition(" ")[2])
+    short = len(t) < 120 and len(tail) <= _SHORT and t == reply.rstrip()
+    return t.rfind("(") > t.rfind(")"), tail if short else tail[-_CONTEXT:], short
 
 
 def asked_languages(prompt: str) -> set[str]:
     return {_NAMES[w] for w in _WORD.findall(prompt.lower()) if w in _NAMES}
 
 
-def defect_of(prompt: str | None, reply: str | None, safe: bool, languages: Languages, terminal: Terminal) -> str | None:
-    """The defect of one pair, or None; the first that holds of empty, copy, refusal, other_language, truncated."""
+def defect_of(prompt: str | None, reply: str | None, safe: bool, languages: Languages) -> str | None:
+    """The defect of one pair apart from truncation, or None; the first that holds of empty, copy, refusal, other_language."""
     if is_empty(reply):
         return "empty"
     if is_copy(prompt, reply):
         return "copy"
     if is_refusal(reply):
-        return "refusal" if safe else None
+        return "refusal" if safe else "none"
     said = languages.of(reply)
     if said and prompt:
         of = languages.of(prompt)
         if of and of != said and said not in asked_languages(prompt):
             return "other_language"
-    return "truncated" if terminal.truncated(reply) else None
+    return None
+
 
+def chance(seen: list[tuple[int, int]], base: float) -> float:
+    """The chance that a sentence ends after some words, from (all, ends) of the last one, two, .. of them, with back-off."""
+    p = base
+    for n, ends in seen:
+        if not n:
+            break
+        p = (ends + _SMOOTH * p) / (n + _SMOOTH)
+    return p
 
-def fit(df: DataFrame, key: str, prompt: str, reply: str, rows: int = SAMPLE_ROWS) -> tuple[Languages, Terminal]:
-    """Both models from at most rows rows of df, those whose hashed keys come first in a fixed share of the hash space."""
-    n = df.count()
-    share = min(1.0, rows / n) if n else 1.0
-    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.coalesce(prompt, F.lit("")).alias("p"), F.coalesce(reply, F.lit("")).alias("r")).limit(rows).collect()
-    languages = Languages([x for r in picked for x in (r.p, r.r)])
-    return languages, Terminal([r.r for r in picked])
+
+def is_truncated(tail: list[str], short: bool, seen: dict[int, tuple[int, int]], base: float, capital: bool) -> bool:
+    """True if a reply that ends openly with these words hardly ends there. seen: (all, ends) by place in `contexts`.
+
+    A word that stands hardly anywhere else is the rest of a word, unless it is a name with a capital letter.
+    """
+    if not tail:
+        return False
+    if tail[-1] == ",":
+        return True
+    levels = [seen.get(k, (0, 0)) for k in range(min(_CONTEXT, len(tail)))]
+    n, whole = seen.get(len(levels), (0, 0)) if short else (0, 0)
+    if whole >= 2 and whole > n - whole:  # given as a whole elsewhere, and seldom gone on with
+        return False
+    if tail[-1] != "#" and levels[0][0] < _RARE and not (capital and len(tail[-1]) > 4):
+        return True
+    return chance(levels, base) < END_CHANCE
 
 
 def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", reply: str = "bot_reply", safe: str = "is_safe", arrived: str = "ingested_at") -> DataFrame:
@@ -305,18 +354,114 @@ def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", r
     A null reply is empty; a null prompt leaves only empty, refusal and truncated; is_safe null is taken as not safe.
     Texts of any length are judged whole.
     """
-    import pickle
+    from quillspark.session import checkpointed
 
-    models = pickle.dumps(fit(df, key, prompt, reply))
     kind = df.schema[key].dataType.simpleString()
+    texts = df.select(F.col(prompt).alias("p"), F.col(reply).alias("r"))
+    seeds = Languages()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words by language, and under an empty language the contexts that open replies ask for."""
+        seen: dict[str, Counter] = defaultdict(Counter)
+        hashed = functools.lru_cache(1 << 16)(_hashed)
+
+        def full() -> pa.RecordBatch:
+            rows = [(w, lang, n) for lang, c in seen.items() for w, n in c.items()]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.int64()))], names=["w", "lang", "n"])
+
+        for b in batches:
+            for t in itertools.chain(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and (lang := seeds.of(t)):
+                    seen[lang].update(set(_coarse(t)))
+            for t in b.column(1).to_pylist():
+                if t and t.strip():
+                    _, tail, short = ends_openly(t)
+                    if tail:
+                        seen[""].update(h.to_bytes(8, "little") for h in contexts([hashed(w) for w in tail], short))
+            if sum(map(len, seen.values())) > 200_000:
+                yield full()
+        yield full()
+
+    counts = checkpointed(texts.mapInArrow(tally, "w binary, lang string, n long").groupBy("w", "lang").agg(F.sum("n").alias("n")))
+    words = df.sparkSession.sparkContext.broadcast(language_words(counts.where("lang <> ''")))
+    bits, packed = _asked_table(counts.where("lang = ''").select("w"))
+    table = df.sparkSession.sparkContext.broadcast(packed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(table.value, "u1")
+        hashed = functools.lru_cache(1 << 17)(_hashed)
+
+        def asked(h: np.ndarray) -> np.ndarray:
+            slot = h >> np.uint64(64 - bits)
+            return (held[(slot >> np.uint64(3)).astype("i8")] >> (slot & np.uint64(7)).astype("u1") & 1).astype(bool)
+
+        for whole in batches:
+            for at in range(0, len(whole), _ROWS):
+                listed = [tokens_of(t) for t in whole.slice(at, _ROWS).column(0).to_pylist() if t and t.strip()]
+                if listed:
+                    value, n, ends = _counted(listed, hashed, asked)
+                    extra = [np.array([0], "u8"), np.array([sum(map(len, listed))]), np.array([len(listed)])]  # tokens and replies
+                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[value, extra[0]].view("i8")), pa.array(np.r_[n, extra[1]]), pa.array(np.r_[ends, extra[2]])], names=["h", "n", "ends"])
+
+    found = checkpointed(texts.select("r").mapInArrow(count, "h long, n long, ends long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    size = found.where("h = 0").select("n", "ends").first()
+    base = min(0.5, size.ends / max(1, size.n)) if size else 0.5
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, terminal = pickle.loads(models)
+        languages = Languages(words.value)
+        hashed = functools.lru_cache(1 << 16)(_hashed)
         for b in batches:
-            p, r, s = (b.column(i).to_pylist() for i in (0, 1, 2))
-            d = [defect_of(x, y, z == 1, languages, terminal) for x, y, z in zip(p, r, s)]
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array(d, pa.string())], names=["k", "at", "defect"])
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for x, y, z in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))):
+                d = defect_of(x, y, z == 1, languages)
+                sure, tail, short = ends_openly(y) if d is None else (False, [], False)
+                capital = bool(tail) and re.split(r"[\W_]+", _ELLIPSIS.sub("", y.rstrip()).rstrip())[-1][:1].isupper()
+                for o, v in zip(out, ("truncated" if sure else d, tail, short, capital, [h - (1 << 64) if h >> 63 else h for h in contexts([hashed(w) for w in tail], short)] if tail and not sure else [])):
+                    o.append(v)
+            types = (pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), *(pa.array(o, t) for o, t in zip(out, types))], names=["k", "at", "defect", "tail", "short", "capital", "asks"])
 
     at = F.struct(F.coalesce(F.col(arrived).cast("timestamp").cast("double"), F.lit(math.inf)).alias("t"), F.xxhash64(prompt, reply, safe).alias("h"))
-    judged = df.where(F.col(key).isNotNull()).select(F.col(prompt).alias("p"), F.col(reply).alias("r"), F.col(safe).cast("int").alias("s"), F.col(key).alias("k"), at.alias("at")).mapInArrow(judge, f"k {kind}, at struct<t: double, h: bigint>, defect string")
-    return judged.groupBy("k").agg(F.min_by("defect", "at").alias("defect")).where("defect is not null").select(F.col("k").alias(key), "defect")
+    judged = df.where(F.col(key).isNotNull()).select(F.col(prompt).alias("p"), F.col(reply).alias("r"), F.col(safe).cast("int").alias("s"), F.col(key).alias("k"), at.alias("at"))
+    judged = judged.mapInArrow(judge, f"k {kind}, at struct<t: double, h: bigint>, defect string, tail array<string>, short boolean, capital boolean, asks array<bigint>")
+    first = checkpointed(judged.groupBy("k").agg(F.min_by(F.struct("defect", "tail", "short", "capital", "asks"), "at").alias("x")).select("k", "x.*").where("(defect is not null and defect <> 'none') or size(asks) > 0"))
+    # Counts come to the replies that ask for them; a context that very many ask for is split by the join's own handling of skew after a partial distinct.
+    asks = first.where("size(asks) > 0")
+    each = asks.select("k", F.posexplode("asks").alias("place", "h")).hint("merge").join(found.hint("merge"), "h").groupBy("k").agg(F.collect_list(F.struct("place", "n", "ends")).alias("seen"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = [is_truncated(t, s, {y["place"]: (y["n"], y["ends"]) for y in x or ()}, base, c) for t, s, c, x in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
+            keep = pa.array(d, pa.bool_())
+            ids = b.column(0).filter(keep)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(["truncated"] * len(ids), pa.string())], names=["k", "defect"])
+
+    open_ = asks.hint("merge").join(each.hint("merge"), "k", "left").select("k", "tail", "short", "capital", "seen").mapInArrow(settle, f"k {kind}, defect string")
+    return first.where("size(asks) = 0").select("k", "defect").unionAll(open_).select(F.col("k").alias(key), "defect")
+
+
+def _asked_table(hashes: DataFrame) -> tuple[int, bytes]:
+    """(bits, packed) of a table with the slots of the hashes (8 bytes each) set; pages of it are made in tasks."""
+    n = hashes.count()
+    bits = min(MOST_BITS, max(16, (ASKED_BITS * n).bit_length()))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = np.frombuffer(b"".join(b.column(0).to_pylist()), "u8") >> np.uint64(64 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(13)).astype("i8")), pa.array((slot & np.uint64(8191)).astype("i4"))], names=["page", "slot"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                page = np.zeros(8192, "u1")
+                page[x] = 1
+                out.append(np.packbits(page, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["page", "x"])
+
+    packed = bytearray((1 << bits) // 8)
+    pages = hashes.mapInArrow(slots, "page long, slot int").distinct().groupBy("page").agg(F.collect_list("slot").alias("x"))  # at most 8192 slots a page
+    for r in pages.mapInArrow(pack, "page long, x binary").collect():  # 1 KB each, no more than the table: 16 MB
+        packed[r.page * 1024 : (r.page + 1) * 1024] = r.x
+    return bits, bytes(packed)
