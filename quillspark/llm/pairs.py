@@ -180,7 +180,10 @@ class Languages:
 
     def of(self, text: str) -> str | None:
         """The language, or None if there are under two words for it or another has a third as many."""
-        votes = Counter(map(self.words.get, _coarse(text)))
+        return self.of_words(_coarse(text))
+
+    def of_words(self, words: list[bytes]) -> str | None:
+        votes = Counter(map(self.words.get, words))
         rest = votes.pop(None, 0)
         if not votes:
             return None
@@ -206,8 +209,20 @@ _OPEN = np.uint64(0x5851F42D4C957F2D)
 _SEED, _MULTIPLY = 0x2545F4914F6CDD1D, np.uint64(0x9E3779B97F4A7C15)
 
 
+def _token(w: str) -> str:
+    return "," if w in ",;:()" or w[0] == "…" or w[:2] == ".." else "." if _MARK.match(w) else "#" if any(c.isdigit() for c in w) else w
+
+
 def tokens_of(text: str) -> list[str]:
-    return ["," if w in ",;:()" or w[0] == "…" or w[:2] == ".." else "." if _MARK.match(w) else "#" if any(c.isdigit() for c in w) else w for w in _TOKEN.findall(text.lower())]
+    return [_token(w) for w in _TOKEN.findall(text.lower())]
+
+
+class _Codes(dict):
+    """Hashes of tokens by their raw text; emptied by its user when it is large."""
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = h = _hashed(_token(raw))
+        return h
 
 
 def _hashed(word: str) -> int:
@@ -237,12 +252,13 @@ def contexts(words: list[int], whole: bool) -> list[int]:
     return out
 
 
-def _counted(words: list[list[str]], hashed: Callable[[str], int], asked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, all, ends) of the contexts of texts that are asked for: how often they stand, and how often a sentence (a beginning: the text) ends there.
+def _counted(raw: list[str], codes: _Codes, hashed: Callable[[str], int], asked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hash, all, ends) of the contexts of texts that are asked for, and the number of tokens: how often they stand, and how often a sentence (a beginning: the text) ends there.
 
     A beginning is gone on with inside a word too: a text whose next word is longer counts for it.
     """
-    texts, dot, comma = [[hashed(w) for w in t] for t in words], hashed("."), hashed(",")
+    code, dot, comma = codes.__getitem__, hashed("."), hashed(",")
+    texts = [list(map(code, _TOKEN.findall(t.lower()))) for t in raw]
     size = np.array([len(t) for t in texts], "i8")
     flat = np.fromiter(itertools.chain.from_iterable(texts), "u8", int(size.sum()))
     first = np.cumsum(size) - size
@@ -263,7 +279,7 @@ def _counted(words: list[list[str]], hashed: Callable[[str], int], asked: Callab
     for m in range(_SHORT):  # beginnings, a word longer each time
         doc = doc[size[doc] > m]
         for i in doc[asked(h[doc] ^ _OPEN)].tolist():
-            w = words[i][m]
+            w = tokens_of(raw[i])[m]
             parts = _chain(np.repeat(h[i : i + 1], max(0, len(w) - 1)), np.array([hashed(w[:j]) for j in range(1, len(w))], "u8"))
             parts = parts[asked(parts)]
             hashes.append(parts)
@@ -277,7 +293,7 @@ def _counted(words: list[list[str]], hashed: Callable[[str], int], asked: Callab
         ends.append((size[mine] == m + 1)[on])
     hashes, ends = np.concatenate(hashes), np.concatenate(ends)
     value, at = np.unique(hashes, return_inverse=True)
-    return value, np.bincount(at, minlength=len(value)), np.bincount(at, weights=ends, minlength=len(value)).astype("i8")
+    return value, np.bincount(at, minlength=len(value)), np.bincount(at, weights=ends, minlength=len(value)).astype("i8"), len(flat)
 
 
 def ends_openly(reply: str) -> tuple[bool, list[str], bool]:
@@ -372,8 +388,8 @@ def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", r
 
         for b in batches:
             for t in itertools.chain(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t and (lang := seeds.of(t)):
-                    seen[lang].update(set(_coarse(t)))
+                if t and (lang := seeds.of_words(own := _coarse(t))):
+                    seen[lang].update(set(own))
             for t in b.column(1).to_pylist():
                 if t and t.strip():
                     _, tail, short = ends_openly(t)
@@ -390,7 +406,7 @@ def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", r
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(table.value, "u1")
-        hashed = functools.lru_cache(1 << 17)(_hashed)
+        hashed, codes = functools.lru_cache(1 << 17)(_hashed), _Codes()
 
         def asked(h: np.ndarray) -> np.ndarray:
             slot = h >> np.uint64(64 - bits)
@@ -398,10 +414,12 @@ def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", r
 
         for whole in batches:
             for at in range(0, len(whole), _ROWS):
-                listed = [tokens_of(t) for t in whole.slice(at, _ROWS).column(0).to_pylist() if t and t.strip()]
+                listed = [t for t in whole.slice(at, _ROWS).column(0).to_pylist() if t and t.strip()]
                 if listed:
-                    value, n, ends = _counted(listed, hashed, asked)
-                    extra = [np.array([0], "u8"), np.array([sum(map(len, listed))]), np.array([len(listed)])]  # tokens and replies
+                    if len(codes) > 1 << 18:
+                        codes.clear()
+                    value, n, ends, size = _counted(listed, codes, hashed, asked)
+                    extra = [np.array([0], "u8"), np.array([size]), np.array([len(listed)])]  # tokens and replies
                     yield pa.RecordBatch.from_arrays([pa.array(np.r_[value, extra[0]].view("i8")), pa.array(np.r_[n, extra[1]]), pa.array(np.r_[ends, extra[2]])], names=["h", "n", "ends"])
 
     found = checkpointed(texts.select("r").mapInArrow(count, "h long, n long, ends long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
