@@ -218,10 +218,15 @@ def tokens_of(text: str) -> list[str]:
 
 
 class _Codes(dict):
-    """Hashes of tokens by their raw text; emptied by its user when it is large."""
+    """Hashes of tokens by their raw text, and the tokens by their hashes; emptied by its user when it is large."""
+
+    def __init__(self) -> None:
+        self.names: dict[int, str] = {}
 
     def __missing__(self, raw: str) -> int:
-        self[raw] = h = _hashed(_token(raw))
+        token = _token(raw)
+        self[raw] = h = _hashed(token)
+        self.names[h] = token
         return h
 
 
@@ -266,7 +271,7 @@ def _counted(raw: list[str], codes: _Codes, hashed: Callable[[str], int], asked:
     left = np.repeat(size, size) - place - 1  # tokens after this one
     after = np.r_[flat[1:], np.zeros(1, "u8")]
     is_mark = (flat == dot) | (flat == comma)
-    hashes, ends = [], []
+    hashes, ends, times = [], [], []
     for k in range(1, _CONTEXT + 1):
         at = np.flatnonzero((place >= k - 1) & (left > 0) & ~is_mark)
         h = np.full(len(at), _SEED + k, "u8")
@@ -275,15 +280,19 @@ def _counted(raw: list[str], codes: _Codes, hashed: Callable[[str], int], asked:
         on = asked(h)
         hashes.append(h[on])
         ends.append(after[at[on]] == dot)
+        times.append(np.ones(len(ends[-1]), "i8"))
     h, doc = np.full(len(texts), _SEED, "u8"), np.arange(len(texts))
     for m in range(_SHORT):  # beginnings, a word longer each time
         doc = doc[size[doc] > m]
-        for i in doc[asked(h[doc] ^ _OPEN)].tolist():
-            w = tokens_of(raw[i])[m]
-            parts = _chain(np.repeat(h[i : i + 1], max(0, len(w) - 1)), np.array([hashed(w[:j]) for j in range(1, len(w))], "u8"))
+        open_ = doc[asked(h[doc] ^ _OPEN)]
+        both, many = np.unique(np.stack([h[open_], flat[first[open_] + m]], axis=1), axis=0, return_counts=True)
+        for (start, word), n in zip(both, many.tolist()):
+            w = codes.names[int(word)]
+            parts = _chain(np.repeat(start, len(w) - 1), np.array([hashed(w[:j]) for j in range(1, len(w))], "u8"))
             parts = parts[asked(parts)]
             hashes.append(parts)
             ends.append(np.zeros(len(parts), bool))
+            times.append(np.full(len(parts), n))
         h[doc] = _chain(h[doc], flat[first[doc] + m])
         over = size[doc] == m + 1
         goes_on = ~over & ~is_mark[np.minimum(first[doc] + m + 1, len(flat) - 1)]
@@ -291,9 +300,10 @@ def _counted(raw: list[str], codes: _Codes, hashed: Callable[[str], int], asked:
         on = asked(h[mine])
         hashes.append(h[mine[on]])
         ends.append((size[mine] == m + 1)[on])
-    hashes, ends = np.concatenate(hashes), np.concatenate(ends)
+        times.append(np.ones(len(ends[-1]), "i8"))
+    hashes, ends, times = np.concatenate(hashes), np.concatenate(ends), np.concatenate(times)
     value, at = np.unique(hashes, return_inverse=True)
-    return value, np.bincount(at, minlength=len(value)), np.bincount(at, weights=ends, minlength=len(value)).astype("i8"), len(flat)
+    return value, np.bincount(at, weights=times, minlength=len(value)).astype("i8"), np.bincount(at, weights=ends, minlength=len(value)).astype("i8"), len(flat)
 
 
 def ends_openly(reply: str) -> tuple[bool, list[str], bool]:
@@ -417,7 +427,7 @@ def find_defects(df: DataFrame, key: str = "id", prompt: str = "user_message", r
                 listed = [t for t in whole.slice(at, _ROWS).column(0).to_pylist() if t and t.strip()]
                 if listed:
                     if len(codes) > 1 << 18:
-                        codes.clear()
+                        codes = _Codes()
                     value, n, ends, size = _counted(listed, codes, hashed, asked)
                     extra = [np.array([0], "u8"), np.array([size]), np.array([len(listed)])]  # tokens and replies
                     yield pa.RecordBatch.from_arrays([pa.array(np.r_[value, extra[0]].view("i8")), pa.array(np.r_[n, extra[1]]), pa.array(np.r_[ends, extra[2]])], names=["h", "n", "ends"])
