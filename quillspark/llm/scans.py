@@ -1,17 +1,18 @@
 """Problem 1: text from scanned pages is repaired into continuous paragraphs.
 
 Words are corrected by a noisy channel: a reading costs the chance of the character confusions that would turn it into
-what stands there, estimated from the collection itself, and gains the likelihood of its words, from counts of words and
-of pairs of neighbouring words over all chunks; Viterbi's algorithm finds the best readings of each line. Candidates
-come from the distinct words only, and each chunk gets the counts that its own lattice needs by joins, so no table of
-the collection is held by a task or the driver. Words divided at a line end are joined where the collection knows the
+what stands there, estimated from the collection itself, and gains the likelihood of its words, each given the one before
+it, from counts of words and of pairs of neighbouring words over all chunks; Viterbi's algorithm finds the best readings
+of each line. Candidates are the distinct words of the collection that fold to the same key: every character is written
+as what it can be mistaken for, so words that any number of confusions turns into one another have one key, whatever
+their length. Each chunk gets the counts that its own lattice needs by joins, in which frequent words are salted, so no
+table of the collection is held by a task or the driver. Words divided at a line end are joined where the collection knows the
 joined word better than the compound; running heads are lines that recur in at least four chunks of their source, with
 misread characters folded together; page numbers are lines with nothing but the number of their page.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from quillspark.session import checkpointed
 
 HEAD_CHUNKS = 4
-#: Most confusions undone in a word; share of a reading's count that a misread form may have, plain or with a figure or sign inside.
-EDITS, PLAIN_SHARE, MIXED_SHARE = 3, 0.08, 0.5
+#: Share of a reading's count that a misread form may have, plain or with a figure or sign inside; weight of a word's chance after the one before it, the rest being its chance anywhere.
+PLAIN_SHARE, MIXED_SHARE, BIGRAM = 0.08, 0.5, 0.6
+#: Inverse of the share of all words from which a word or pair is salted in joins (there are fewer such than this), and the salts.
+HEAVY, SALTS = 20_000, 16
 #: Chance of any confusion in a character, before they are counted.
 PRIOR = 0.003
 
@@ -37,14 +40,10 @@ PAGE_WORDS = "page|pg|pag|seite|s|halaman|hal|muka surat|página|pagina|pág|p"
 OF_WORDS = "of|von|de|sur|daripada|dari|aus"
 DIVIDERS = "-‐‑­¬"
 
-_SEEN: dict[str, list[str]] = {}
-for _m, _s in CONFUSIONS:
-    _SEEN.setdefault(_s, []).append(_m)
 # Each run is tried from its start only, so that a very long text without blanks takes linear time.
 _TRIM = r"^[^\p{L}\p{N}@|$!]+|(?<![^\p{L}\p{N}@|$])[^\p{L}\p{N}@|$]+$"
 _TRIM_PY = re.compile(r"^[^\w@|$!]+|(?<![^\w@|$])[^\w@|$]+$")
 _DIVIDED = re.compile(rf"(?<![^\W_])([^\W_]+(?:-[^\W_]+)*)([{DIVIDERS}]) ?\n[ \t]*([^\W\d_]+)")
-_CODE = re.compile(r"^(?:[a-z]{1,3}-?)?[\d.,:/%+-]+$")
 _PAGE = re.compile(rf"^[\W_]*(?:(?:{PAGE_WORDS})\b\.?\s*)?([0-9ivxlc]{{1,6}}|[0-9oils|!bszq]{{1,4}})(?:\s*(?:/|\||{OF_WORDS})\s*[0-9]{{1,5}})?[\W_]*$", re.I)
 _ROMAN = (("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 
@@ -87,7 +86,7 @@ def running_heads(df: DataFrame) -> DataFrame:
     no hot key. A null source has no running heads.
     """
     lines = df.where("source is not null and content is not null").select("chunk_id", "source", F.posexplode(F.split("content", "\n")).alias("i", "line"))
-    title = F.col("line").rlike(r"^[\W\d_]*\p{Lu}") & ~F.col("line").rlike(r"[.,;:]\s*$") & F.col("line").rlike(r"\p{L}{3}") & (F.length("line") <= 90)
+    title = F.col("line").rlike(r"^[\W\d_]*\p{Lu}") & ~F.col("line").rlike(r"[.,;:]\s*$") & F.col("line").rlike(r"\p{L}{3}")
     lines = lines.where(title).select("chunk_id", "source", "i", _folded(F.col("line")).alias("fold")).where(F.length("fold") >= 5)
     often = lines.select("source", "fold", "chunk_id").distinct().groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAD_CHUNKS)
     return lines.join(often.select("source", "fold"), ["source", "fold"], "left_semi").groupBy("chunk_id").agg(F.collect_set("i").alias("heads"))
@@ -99,26 +98,31 @@ def _words(content: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(whole), r"\s+"), lambda x: x != ""), lambda x: F.regexp_replace(x, _TRIM, ""))
 
 
-def readings_of(word: str, most: int = EDITS) -> dict[str, tuple[tuple[str, str], ...]]:
-    """Other readings of a word: {reading: the confusions undone}."""
-    places = [(i, s) for s in _SEEN for i in range(len(word) - len(s) + 1) if word.startswith(s, i)]
-    places.sort()
-    out: dict[str, tuple[tuple[str, str], ...]] = {}
-    must = sum(not c.isalpha() and c not in "-'’" for c in word)
-    for k in range(1, most + 1):
-        if math.comb(len(places), k) > 3000:
-            break
-        for chosen in itertools.combinations(places, k):
-            if any(a[0] + len(a[1]) > b[0] for a, b in itertools.pairwise(chosen)) or sum(not s.isalpha() for _, s in chosen) < min(must, k):
-                continue
-            for meant in itertools.product(*(_SEEN[s] for _, s in chosen)):
-                parts, at = [], 0
-                for (i, s), m in zip(chosen, meant):
-                    parts += [word[at:i], m]
-                    at = i + len(s)
-                x = "".join(parts) + word[at:]
-                out.setdefault(x, tuple((m, s) for (_, s), m in zip(chosen, meant)))
-    return out
+def _key(word: Column) -> Column:
+    """The same for words that confusions turn into one another: each character as what it can be mistaken for, so a group of characters has the key of the one it stands for."""
+    x = F.translate(word, "c3@f7l1|!0$59q68b2", "eeattiiiiossgggggz")
+    for a, b in (("m", "rn"), ("n", "ri"), ("u", "ii"), ("h", "ii"), ("d", "ei"), ("w", "vv")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def undone(word: str, reading: str) -> tuple[tuple[str, str], ...] | None:
+    """The fewest confusions (meant, seen) that turn a reading into a word, or None."""
+    best: dict[tuple[int, int], tuple[tuple[str, str], ...]] = {(0, 0): ()}
+    todo = [(0, 0)]
+    while todo:  # in order of the places, which only grow
+        i, j = todo.pop(0)
+        own = best[i, j]
+        steps = [(i + 1, j + 1, own)] if i < len(word) and j < len(reading) and word[i] == reading[j] else []
+        steps += [(i + len(s), j + len(m), (*own, (m, s))) for m, s in CONFUSIONS if word.startswith(s, i) and reading.startswith(m, j)]
+        for a, b, way in steps:
+            if (a, b) not in best:
+                todo.append((a, b))
+                best[a, b] = way
+            elif len(way) < len(best[a, b]):
+                best[a, b] = way
+        todo.sort()
+    return best.get((len(word), len(reading)))
 
 
 def _is_mixed(word: str) -> bool:
@@ -132,22 +136,19 @@ def word_readings(counts: DataFrame) -> DataFrame:
     neighbours speak for them.
     """
 
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not 2 < len(w) <= 30 or "_" in w or _CODE.match(w):
-                    continue
-                for r, undone in readings_of(w).items():
-                    if r.replace("-", "").replace("'", "").replace("’", "").isalpha():
-                        for x, v in zip(out, (w, r, " ".join(f"{m}>{s}" for m, s in undone), n)):
-                            x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["w", "reading", "seen", "n_w"])
-
-    guesses = counts.mapInArrow(guess, "w string, reading string, seen string, n_w long")
-    known = counts.select(F.col("w").alias("reading"), "n")
-    share = F.when(F.col("w").rlike(r"[^\p{L}'’-]"), MIXED_SHARE).otherwise(PLAIN_SHARE)
-    return guesses.join(known, "reading").withColumn("firm", F.col("n_w") <= F.col("n") * share).where(F.col("firm") | ~F.col("w").rlike(r"[^\p{L}'’-]"))
+            ways = [undone(w, r) for w, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            keep = pa.array([x is not None for x in ways], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in b.columns), pa.array([" ".join(f"{m}>{s}" for m, s in x) for x in ways if x is not None], pa.string())], names=["w", "reading", "n_w", "n", "firm", "seen"])
+
+    keyed = counts.where((F.length("w") > 2) & ~F.contains("w", F.lit("_"))).select("w", "n", _key(F.col("w")).alias("key"))
+    mixed = F.col("w").rlike(r"[^\p{L}'’-]")
+    left = keyed.where(~F.col("w").rlike(r"^(?:[a-z]{1,3}-?)?[\d.,:/%+-]+$")).withColumnRenamed("n", "n_w")
+    right = keyed.where(~F.col("w").rlike(r"[^\p{L}'’-]")).withColumnsRenamed({"w": "reading"})
+    firm = F.col("n_w") <= F.col("n") * F.when(mixed, MIXED_SHARE).otherwise(PLAIN_SHARE)
+    pairs = left.hint("merge").join(right.hint("merge"), "key").where("w <> reading").withColumn("firm", firm).where(F.col("firm") | ~mixed)
+    return pairs.select("w", "reading", "n_w", "n", "firm").mapInArrow(explain, "w string, reading string, n_w long, n long, firm boolean, seen string").select("w", "reading", "seen", "n_w", "n", "firm")
 
 
 def _lattices(text: str, fixes: dict[str, list]) -> Iterator[tuple[list[str], list[str], list[list[str]]]]:
@@ -166,6 +167,7 @@ def _needs(text: str, fixes: dict[str, list]) -> set[str]:
         for a, b in zip(options, options[1:]):
             if len(a) > 1 or len(b) > 1:
                 out.update(f"{x} {y}" for x in a for y in b)
+                out.update((*a, *b))
     for m in _DIVIDED.finditer(text):
         a, b = m.group(1).lower(), m.group(3).lower()
         out.update((a + b, f"{a}-{b}", b))
@@ -196,30 +198,45 @@ def correct_line(words: list[str], options: list[list[str]], fixes: dict[str, li
 
     options, doubtful = _supported(words, options, fixes, counts)
 
-    def own(i: int, r: str) -> float:
+    def anywhere(i: int, r: str) -> tuple[float, float]:
+        """(chance of a reading anywhere, cost of the confusions that it undoes)."""
         w = words[i]
         if w not in fixes:
-            return 0.0
+            return max(1, counts.get(w, 1)) / total, 0.0
         rows = fixes[w]
         if r == w:
             if i in doubtful:  # without this one
-                return math.log(max(0.1, rows[0][3] - 1 - PLAIN_SHARE / 2 * max(x[2] for x in rows)) / total)
+                return max(0.1, rows[0][3] - 1 - PLAIN_SHARE / 2 * max(x[2] for x in rows)) / total, 0.0
             firm = [x[2] for x in rows if x[4]]
-            real = 0.05 if _is_mixed(w) else max(0.1, rows[0][3] - PLAIN_SHARE / 2 * max(firm, default=0))
-            return math.log(real / total)
+            return (0.05 if _is_mixed(w) else max(0.1, rows[0][3] - PLAIN_SHARE / 2 * max(firm, default=0))) / total, 0.0
         cost, n = next((x[1], x[2]) for x in rows if x[0] == r)
-        return math.log(n / total) + cost
-
-    def link(i: int, a: str, b: str) -> float:
-        own_pair = (i in doubtful or i - 1 in doubtful) and a == words[i - 1] and b == words[i]
-        return math.log(1 + 8.0 * max(0, counts.get(f"{a} {b}", 0) - own_pair))
-
-    best = {r: (own(0, r), [r]) for r in options[0]}
+        return n / total, cost
+
+    def score(i: int, a: str | None, b: str) -> float:
+        """The logarithm of P(b | a), the pair's share of a's places smoothed by the chance of b anywhere, with the cost of b's confusions."""
+        chance, cost = anywhere(i, b)
+        if a is None:
+            return math.log(chance) + cost
+        written = a == words[i - 1] and (a in fixes or words[i] in fixes)  # what stands here is no evidence for itself
+        after = max(0, counts.get(f"{a} {b}", 0) - (written and b == words[i])) / max(1, counts.get(a, 0) - written)
+        if a == words[i - 1] and a in fixes and anywhere(i - 1, a)[0] * total < 0.2:  # a form that its readings explain has no neighbours of its own
+            after = 0.0
+        return math.log(BIGRAM * min(1.0, after) + (1 - BIGRAM) * chance) + cost
+
+    best = {r: (score(0, None, r), [r]) for r in options[0]}
     for i, opts in enumerate(options[1:], 1):
-        best = {r: max((s + link(i, p, r) * 0.5 + own(i, r), [*path, r]) for p, (s, path) in best.items()) for r in opts}
+        best = {r: max((s + score(i, p, r), [*path, r]) for p, (s, path) in best.items()) for r in opts}
     return max(best.values())[1]
 
 
+def _salted(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, by: str) -> DataFrame:
+    """left joined with right, which has each key once, with the rows of heavy keys dealt to salts by a column."""
+    flags = F.broadcast(heavy.select(key, F.lit(SALTS).alias("_salts")))  # fewer than HEAVY rows
+    a = left.join(flags, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    b = right.join(flags, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return a.hint("merge").join(b.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def _like(raw: str, word: str, reading: str) -> str:
     """raw with its word replaced by the reading, in the case of the original."""
     at = raw.lower().find(word)
@@ -290,13 +307,16 @@ def repaired(df: DataFrame) -> DataFrame:
     after = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
     pairs = words.select(F.explode(F.zip_with("words", after, lambda a, b: F.concat_ws(" ", a, b))).alias("w")).where("w like '_% %_'").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
+    tallies = checkpointed(single.unionByName(pairs))
+    heavy = tallies.where(F.col("n") > total / HEAVY).select("w")
     readings = checkpointed(word_readings(single))
     # The chance of each confusion: how often it explains a word, among the characters that it could have struck.
     struck = readings.where("firm and instr(seen, ' ') = 0").groupBy("seen").agg(F.sum("n_w").alias("hits"), F.sum("n").alias("of")).collect()  # one row a confusion
     chance = {r.seen: min(0.2, max(PRIOR / 10, r.hits / (r.of + 1))) for r in struck}
     cost = F.aggregate(F.transform(F.split("seen", " "), lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for p in (chance | {"": 1.0}).items() for y in (p[0], math.log(p[1]))]), x), F.lit(math.log(PRIOR)))), F.lit(0.0), lambda a, b: a + b)
     by_word = readings.select("w", F.struct("reading", cost.alias("cost"), "n", "n_w", "firm").alias("r")).groupBy("w").agg(F.collect_list("r").alias("r"))
-    fixes = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("w")).join(by_word, "w").groupBy("chunk_id").agg(F.collect_list(F.struct("w", "r")).alias("fixes"))
+    listed = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("w"))
+    fixes = _salted(listed, by_word, "w", heavy, "chunk_id").groupBy("chunk_id").agg(F.collect_list(F.struct("w", "r")).alias("fixes"))
     fixes = checkpointed(fixes)
 
     def unpack(col: list | None) -> dict[str, list]:
@@ -312,8 +332,8 @@ def repaired(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.string())], names=["chunk_id", "w"])
 
     id_type = df.schema["chunk_id"].dataType.simpleString()
-    needs = text.where("content is not null").select("chunk_id", "content").join(fixes, "chunk_id", "left").select("chunk_id", "content", "fixes").mapInArrow(ask, f"chunk_id {id_type}, w string")
-    counted = needs.join(single.unionByName(pairs), "w").groupBy("chunk_id").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
+    needs = text.where("content is not null").select("chunk_id", "content").hint("merge").join(fixes.hint("merge"), "chunk_id", "left").select("chunk_id", "content", "fixes").mapInArrow(ask, f"chunk_id {id_type}, w string")
+    counted = _salted(needs, tallies, "w", heavy, "chunk_id").groupBy("chunk_id").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,5 +344,5 @@ def repaired(df: DataFrame) -> DataFrame:
                 out.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(defects, pa.list_(pa.string())), pa.array(out, pa.string())], names=["chunk_id", "defects", "content"])
 
-    whole = text.join(running_heads(text), "chunk_id", "left").join(fixes, "chunk_id", "left").join(counted, "chunk_id", "left").select("chunk_id", "content", F.col("page").cast("long"), "heads", "fixes", "counts")
+    whole = text.hint("merge").join(running_heads(text).hint("merge"), "chunk_id", "left").hint("merge").join(fixes.hint("merge"), "chunk_id", "left").hint("merge").join(counted.hint("merge"), "chunk_id", "left").select("chunk_id", "content", F.col("page").cast("long"), "heads", "fixes", "counts")
     return whole.mapInArrow(mend, f"chunk_id {id_type}, defects array<string>, content string")

@@ -40,7 +40,7 @@ def test_page_numbers(line, page, yes):
 
 
 def test_readings_undo_several_confusions():
-    assert "calibration" in scans.readings_of("ca1ibrafion") and "sheet" in scans.readings_of("slieet") and "until" in scans.readings_of("iintil")
+    assert scans.undone("ca1ibrafion", "calibration") == (("l", "1"), ("t", "f")) and scans.undone("slieet", "sheet") == (("h", "li"),) and scans.undone("iintil", "until") and scans.undone("pump", "lamp") is None
 
 
 def test_misread_words_that_are_rare_in_the_collection(spark):
@@ -50,6 +50,18 @@ def test_misread_words_that_are_rare_in_the_collection(spark):
     assert all(out[i].content == texts[i] and out[i].defects == [] for i in (0, 1, 2, 4, 5))
 
 
+def test_words_of_one_key_and_their_neighbours(spark):
+    long = "w" + "imn" * 20  # many confusions in a long word
+    seen = long.replace("m", "rn").replace("i", "1").replace("w", "vv")
+    rows = [("place", 100), ("p1ace", 2), ("plaoe", 1), (long, 300), (seen, 1), ("modern", 80), ("modem", 1), ("_x_1", 5)]
+    got = {(r.w, r.reading): r.seen for r in scans.word_readings(spark.createDataFrame(rows, "w string, n long")).collect()}
+    assert got[("p1ace", "place")] == "l>1" and ("plaoe", "place") not in got and got[(seen, long)].count(">") == 41 and ("_x_1", "x") not in got
+    fixes = {"c1r": [("cir", -5.0, 100, 1, True), ("clr", -5.0, 90, 1, True)]}
+    options = [["the"], ["c1r", "cir", "clr"]]
+    assert scans.correct_line(["the", "c1r"], options, fixes, {"the": 100, "the clr": 50, "the c1r": 1}, 10_000.0) == ["the", "clr"]
+    assert scans.correct_line(["the", "c1r"], options, fixes, {"the": 100, "the c1r": 1}, 10_000.0) == ["the", "cir"]
+
+
 # Problem 2.
 def test_pieces_cover_the_text_within_the_limit():
     rng = random.Random(5)
