@@ -212,6 +212,10 @@ def correct_line(words: list[str], options: list[list[str]], fixes: dict[str, li
         cost, n = next((x[1], x[2]) for x in rows if x[0] == r)
         return n / total, cost
 
+    def explained(i: int, r: str) -> bool:
+        """True for a written form whose count its readings explain."""
+        return r == words[i] and r in fixes and anywhere(i, r)[0] * total < 0.2
+
     def score(i: int, a: str | None, b: str) -> float:
         """The logarithm of P(b | a), the pair's share of a's places smoothed by the chance of b anywhere, with the cost of b's confusions."""
         chance, cost = anywhere(i, b)
@@ -219,12 +223,16 @@ def correct_line(words: list[str], options: list[list[str]], fixes: dict[str, li
             return math.log(chance) + cost
         written = a == words[i - 1] and (a in fixes or words[i] in fixes)  # what stands here is no evidence for itself
         after = max(0, counts.get(f"{a} {b}", 0) - (written and b == words[i])) / max(1, counts.get(a, 0) - written)
-        if a == words[i - 1] and a in fixes and anywhere(i - 1, a)[0] * total < 0.2:  # a form that its readings explain has no neighbours of its own
+        if explained(i - 1, a) or explained(i, b):  # such a form has no neighbours of its own
             after = 0.0
         return math.log(BIGRAM * min(1.0, after) + (1 - BIGRAM) * chance) + cost
 
     best = {r: (score(0, None, r), [r]) for r in options[0]}
     for i, opts in enumerate(options[1:], 1):
+        if len(opts) == len(best) == 1:  # nothing to choose
+            ((s, path),) = best.values()
+            best = {opts[0]: (s, [*path, opts[0]])}
+            continue
         best = {r: max((s + score(i, p, r), [*path, r]) for p, (s, path) in best.items()) for r in opts}
     return max(best.values())[1]
 
@@ -269,10 +277,11 @@ def repair(text: str, page: int | None, heads: set[int], fixes: dict[str, list],
             found.add("page_number")
             line = None
         lines.append(line)
+    done: dict[tuple[str, ...], list[str]] = {}
     for _, words, options in _lattices(text, fixes):
-        if correct_line(words, options, fixes, counts, total) != words:
+        done[tuple(words)] = fixed = correct_line(words, options, fixes, counts, total)
+        if fixed != words:
             found.add("misread")
-            break
     for m in _DIVIDED.finditer(text):
         if is_divided(m.group(1).lower(), m.group(2), m.group(3).lower(), counts):
             found.add("hyphen")
@@ -286,8 +295,10 @@ def repair(text: str, page: int | None, heads: set[int], fixes: dict[str, list],
             raw = line.split()
             words = [_TRIM_PY.sub("", x.lower()) for x in raw]
             if any(w in fixes for w in words):
-                options = [[w, *(r for r, *_ in fixes.get(w, ()))] for w in words]
-                raw = [x if r == w else _like(x, w, r) for x, w, r in zip(raw, words, correct_line(words, options, fixes, counts, total))]
+                fixed_words = done.get(tuple(words))
+                if fixed_words is None:  # a line that changed where a divided word was joined
+                    fixed_words = correct_line(words, [[w, *(r for r, *_ in fixes.get(w, ()))] for w in words], fixes, counts, total)
+                raw = [x if r == w else _like(x, w, r) for x, w, r in zip(raw, words, fixed_words)]
             fixed += raw
         if fixed:
             out.append(" ".join(fixed))
@@ -302,12 +313,11 @@ def repaired(df: DataFrame) -> DataFrame:
     """
     text = df.select("chunk_id", "source", "page", "content")
     words = text.where("content is not null").select("chunk_id", _words(F.col("content")).alias("words"))
-    single = checkpointed(words.select(F.explode("words").alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    total = float(single.agg(F.sum("n")).first()[0] or 1)
     after = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
-    pairs = words.select(F.explode(F.zip_with("words", after, lambda a, b: F.concat_ws(" ", a, b))).alias("w")).where("w like '_% %_'").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-
-    tallies = checkpointed(single.unionByName(pairs))
+    both = F.filter(F.zip_with("words", after, lambda a, b: F.when((a != "") & (b != ""), F.concat_ws(" ", a, b))), lambda x: x.isNotNull())
+    tallies = checkpointed(words.select(F.explode(F.concat(F.filter("words", lambda x: x != ""), both)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    single = tallies.where(~F.contains("w", F.lit(" ")))
+    total = float(single.agg(F.sum("n")).first()[0] or 1)
     heavy = tallies.where(F.col("n") > total / HEAVY).select("w")
     readings = checkpointed(word_readings(single))
     # The chance of each confusion: how often it explains a word, among the characters that it could have struck.
