@@ -229,7 +229,7 @@ def fit_sample(records: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_C
 
 
 def labelled_records(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """tbl, rec_id, label, content of several tables: {name: (table, key)}; a row stored twice under its key is one."""
+    """tbl, rec_id, label, content of several tables: {name: (table, key)}; a row stored twice under its key stays twice, and its cases are made one later."""
     out = None
     for name, (df, key) in tables.items():
         one = df.where(F.col(key).isNotNull()).select(F.lit(name).alias("tbl"), F.col(key).cast("long").alias("rec_id"), F.col("language").cast("string").alias("label"), "content")

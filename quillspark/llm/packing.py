@@ -20,6 +20,8 @@ from quillspark.llm.tokens import VOCABULARY, with_tokens
 
 CAPACITY, MAX_ITEMS, GROUP_ITEMS, REOPEN_BELOW = 2048, 512, 8000, 0.97
 WEIGHTS = (1.0, 0.05, 0.05)
+#: Limits for training with few documents a container and a bounded cost of attention across them: with these all three capacities bind.
+BOUNDED = {"max_items": 12, "max_attention": CAPACITY * CAPACITY // 2}
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_items: int = MAX_ITEMS, max_attention: int | None = None, weights: tuple = WEIGHTS) -> np.ndarray:
@@ -50,14 +52,15 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_items: int = MAX_I
     return out
 
 
-def _pack_groups(items: DataFrame, key_type: str, capacity: int, max_items: int, round_no: int, max_attention: int | None = None) -> DataFrame:
+def _pack_groups(items: DataFrame, key_type: str, capacity: int, max_items: int, round_no: int, max_attention: int | None, tasks: int) -> DataFrame:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_key", "piece_index"], ascending=[False, True, True], kind="stable")
         k = best_fit(pdf["tokens"].to_numpy(), capacity, max_items, max_attention)
         fill = np.bincount(k, weights=pdf["tokens"], minlength=1)
         return pdf.assign(container=pdf["grp"].astype(str) + f".{round_no}." + pd.Series(k, index=pdf.index).astype(str), fill=fill[k])
 
-    return items.groupBy("grp").applyInPandas(pack, f"doc_key {key_type}, piece_index int, piece_count int, start long, tokens long, grp long, container string, fill double")
+    # A task a group: so many partitions are asked for by number, and not joined again because they are small.
+    return items.repartition(max(1, tasks), "grp").groupBy("grp").applyInPandas(pack, f"doc_key {key_type}, piece_index int, piece_count int, start long, tokens long, grp long, container string, fill double")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, capacity: int = CAPACITY, max_items: int = MAX_ITEMS, group_items: int = GROUP_ITEMS, reopen_below: float = REOPEN_BELOW, max_attention: int | None = None) -> DataFrame:
@@ -80,7 +83,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             F.pmod(F.xxhash64("doc_key", "piece_index"), F.lit(groups)).alias("grp"),
         )
     )
-    first = _pack_groups(cut, kind, capacity, max_items, 1, max_attention)
+    first = _pack_groups(cut, kind, capacity, max_items, 1, max_attention, groups)
     last = F.col("fill") < capacity * reopen_below
     again = groups > 1
     if again:
@@ -89,7 +92,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
         first = checkpointed(first)
         loose = first.where(last).drop("container", "fill")
         fewer = max(1, -(-loose.count() // group_items))
-        packed = _pack_groups(loose.withColumn("grp", F.pmod(F.xxhash64("doc_key", "piece_index"), F.lit(fewer))), kind, capacity, max_items, 2, max_attention)
+        packed = _pack_groups(loose.withColumn("grp", F.pmod(F.xxhash64("doc_key", "piece_index"), F.lit(fewer))), kind, capacity, max_items, 2, max_attention, fewer)
         first = first.where(~last).unionByName(packed)
     return first.select(F.col("doc_key").alias(key), "piece_index", "piece_count", "start", "tokens", "container", "fill")
 

@@ -120,6 +120,13 @@ def p7_conversations(spark, sf_dir):
     return conversations(_read(spark, sf_dir, "tapirus_chat_history"))
 
 
+@_query
+def p7_links(spark, sf_dir):
+    from quillspark.llm.conversations import exchanges, message_rows, reply_links
+
+    return reply_links(exchanges(message_rows(_read(spark, sf_dir, "tapirus_chat_history")))).withColumn("score", F.round("score", 4))
+
+
 @_query
 def p8_found(spark, sf_dir):
     from quillspark.llm.packing import pack_documents
@@ -134,6 +141,13 @@ def p8_containers(spark, sf_dir):
     return containers(pack_documents(_read(spark, sf_dir, "documents")))
 
 
+@_query
+def p8_bounded(spark, sf_dir):
+    from quillspark.llm.packing import BOUNDED, containers, pack_documents
+
+    return containers(pack_documents(_read(spark, sf_dir, "documents"), **BOUNDED))
+
+
 @_query
 def p9_found(spark, sf_dir):
     from quillspark.llm.mixing import short_sources

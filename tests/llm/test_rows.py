@@ -155,3 +155,13 @@ def test_short_sources_come_from_the_plan(spark, monkeypatch):
     for r in mixing.source_budgets(mixing.listed_tokens(df, targets), targets).collect():
         assert plan[r.source][3] == r.short
     assert mixing.short_sources(df.limit(0), targets).count() == 0 and mixing.short_sources(df, targets.limit(0)).count() == 0
+
+
+def test_interleaved_replies_are_linked_by_what_they_share(spark, monkeypatch):
+    turns = [("user", "How do I reset the coolant pump?", 100), ("user", "Where is the vector index stored?", 110), ("ai", "The coolant pump has a reset key.", 115), ("ai", "The vector index is stored beside the table.", 120)]
+    df = spark.createDataFrame([(i, "s", r, t, at, None, 1, 1) for i, (r, t, at) in enumerate(turns)], HISTORY)
+    links = lambda: {r.id: r.parent_id for r in conversations.reply_links(conversations.exchanges(conversations.message_rows(df))).collect()}
+    assert links() == {2: 0, 3: 1}
+    monkeypatch.setattr(conversations, "W_OVERLAP", 0.0)
+    assert links() == {2: 1, 3: 1}  # by time alone
+    assert not conversations.session_states(df).first().keep

@@ -221,6 +221,20 @@ def test_best_fit_keeps_every_capacity():
     assert len(set(k)) == 3
 
 
+def test_all_three_capacities_bind(spark):
+    sizes = [30] * 200 + [700, 900, 1100, 1300] * 20 + [150] * 60
+    df = spark.createDataFrame([(i, "word " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    rows: dict = {}
+    for r in packing.pack_documents(df, **packing.BOUNDED).collect():
+        rows.setdefault(r.container, []).append(r.tokens)
+    most = packing.BOUNDED["max_attention"]
+    assert all(sum(b) <= 2048 and len(b) <= 12 and (sum(t * t for t in b) <= most or len(b) == 1) for b in rows.values())
+    least = min(sizes)
+    full = lambda b: sum(b) + least > 2048
+    assert any(len(b) == 12 and not full(b) for b in rows.values()) and any(full(b) for b in rows.values())
+    assert len(rows) > len({r.container for r in packing.pack_documents(df).collect()})
+
+
 def test_documents_are_packed_under_an_attention_cost(spark):
     df = spark.createDataFrame([(i, "word " * (100 + 90 * (i % 9))) for i in range(60)] + [(900, "word " * 5000)], "doc_id long, text string")
     for group in (8000, 20):
