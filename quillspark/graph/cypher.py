@@ -16,8 +16,8 @@ _PATTERN = re.compile(
     re.I | re.S,
 )
 _TEST = re.compile(r"\s*(\w+)\.(\w+(?:\.\w+)*)\s*(=|<>|!=|<=|>=|<|>|CONTAINS)\s*('(?:[^']|'')*'|\"[^\"]*\"|-?\d+(?:\.\d+)?)\s*$", re.I)
-#: Longest way of a pattern with an open end.
-OPEN_END = 5
+#: Longest way of a pattern whose end is left open (``*`` or ``*2..``), at least its least one; set it higher to walk on.
+OPEN_END = 1
 
 
 def _test(text: str, kinds: dict[str, str]) -> Column:
@@ -40,11 +40,15 @@ def run(graph: model.Graph, query: str) -> DataFrame:
     a, b, r = m["a"] or "_a", m["b"] or "_b", m["r"] or "_r"
     many = re.search(r"\[[^\]]*\*", query.split("RETURN")[0]) is not None
     lo = int(m["lo"]) if m["lo"] else 1
-    hi = int(m["hi"]) if m["hi"] else (OPEN_END if m["dots"] or not m["lo"] else lo)
+    hi = int(m["hi"]) if m["hi"] else (max(lo, OPEN_END) if m["dots"] or not m["lo"] else lo)
     direction = "in" if m["left"] else "out" if m["right"] else "both"
-    rows = model.match(graph, a, r, b, m["al"], m["rl"], m["bl"], (lo, hi) if many else (1, 1), direction)
     kinds = {a: "node", b: "node", r: "edge"}
-    for part in re.split(r"\s+AND\s+", m["where"], flags=re.I) if m["where"] else []:
+    parts = re.split(r"\s+AND\s+", m["where"], flags=re.I) if m["where"] else []
+    start = None  # what the first node must be holds before the walk begins
+    for part in (p for p in parts if re.match(rf"\s*{a}\.", p)):
+        start = _test(part, kinds) if start is None else start & _test(part, kinds)
+    rows = model.match(graph, a, r, b, m["al"], m["rl"], m["bl"], (lo, hi) if many else (1, 1), direction, start)
+    for part in parts:
         rows = rows.where(_test(part, kinds))
     items, counted = [], None
     for item in (x.strip() for x in m["ret"].split(",")):
