@@ -101,6 +101,9 @@ sql("alias_order", "SELECT p_brand AS brand, count(*) AS n FROM {part} GROUP BY
 
 # Set operations.
 sql("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}", "customer supplier")
+sql("set_union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}", "customer supplier")
+sql("set_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", "customer supplier")
+sql("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT n_regionkey FROM {nation}", "nation")
 
 
 def _compound(spark, sf_dir):
