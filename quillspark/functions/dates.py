@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_FULL = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,3})?)?)?$"
+_CLOCK = r"^\d{2}:\d{2}(:\d{2})?$"
 _NUMBER = r"^[+-]?\d+(\.\d+)?$"
 #: Directives of strftime and the patterns they are written with.
 DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
@@ -18,9 +20,8 @@ def parse(text: Column | str, unixepoch: bool = False) -> Column:
     s = F.trim(F.col(text) if isinstance(text, str) else text)
     number = s.try_cast("double")
     days = number if unixepoch else (number - 2440587.5) * 86400.0
-    formats = ("yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd")
-    full = F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in formats))
-    clock = F.coalesce(*(F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), s), F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")))
+    full = F.when(s.rlike(_FULL), s.try_cast("timestamp"))
+    clock = F.when(s.rlike(_CLOCK), F.concat(F.lit("2000-01-01 "), s).try_cast("timestamp"))
     return F.when(F.lower(s) == "now", F.current_timestamp()).when(s.rlike(_NUMBER), F.timestamp_millis(F.round(days * 1000).cast("long"))).otherwise(F.coalesce(full, clock))
 
 

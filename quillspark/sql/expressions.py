@@ -20,9 +20,8 @@ FUNCTIONS = (
     ("quill_time", "s STRING, epoch BOOLEAN", r"""
         CASE WHEN lower(trim(s)) = 'now' THEN current_timestamp()
              WHEN trim(s) RLIKE '^[+-]?[0-9]+([.][0-9]+)?$' THEN timestamp_millis(CAST(round(CASE WHEN epoch THEN try_cast(trim(s) AS DOUBLE) ELSE (try_cast(trim(s) AS DOUBLE) - 2440587.5D) * 86400D END * 1000) AS BIGINT))
-             ELSE coalesce(try_to_timestamp(trim(s), "yyyy-MM-dd'T'HH:mm:ss.SSS"), try_to_timestamp(trim(s), 'yyyy-MM-dd HH:mm:ss.SSS'), try_to_timestamp(trim(s), 'yyyy-MM-dd HH:mm:ss'), try_to_timestamp(trim(s), "yyyy-MM-dd'T'HH:mm:ss"),
-                  try_to_timestamp(trim(s), 'yyyy-MM-dd HH:mm'), try_to_timestamp(trim(s), "yyyy-MM-dd'T'HH:mm"), try_to_timestamp(trim(s), 'yyyy-MM-dd'),
-                  try_to_timestamp(concat('2000-01-01 ', trim(s)), 'yyyy-MM-dd HH:mm:ss'), try_to_timestamp(concat('2000-01-01 ', trim(s)), 'yyyy-MM-dd HH:mm')) END"""),
+             WHEN trim(s) RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,3})?)?)?$' THEN try_cast(trim(s) AS TIMESTAMP)
+             WHEN trim(s) RLIKE '^[0-9]{2}:[0-9]{2}(:[0-9]{2})?$' THEN try_cast(concat('2000-01-01 ', trim(s)) AS TIMESTAMP) END"""),
     ("quill_moved", "t TIMESTAMP, m STRING", r"""
         CASE WHEN m IN ('utc', 'unixepoch') THEN t
              WHEN m LIKE 'start of %' THEN date_trunc(substr(m, 10), t)
