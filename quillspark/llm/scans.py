@@ -13,6 +13,7 @@ misread characters folded together; page numbers are lines with nothing but the
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -108,21 +109,27 @@ def _key(word: Column) -> Column:
 
 def undone(word: str, reading: str) -> tuple[tuple[str, str], ...] | None:
     """The fewest confusions (meant, seen) that turn a reading into a word, or None."""
-    best: dict[tuple[int, int], tuple[tuple[str, str], ...]] = {(0, 0): ()}
+    best: dict[tuple[int, int], tuple[int, tuple[int, int], tuple[str, str] | None]] = {(0, 0): (0, (0, 0), None)}
     todo = [(0, 0)]
-    while todo:  # in order of the places, which only grow
-        i, j = todo.pop(0)
-        own = best[i, j]
-        steps = [(i + 1, j + 1, own)] if i < len(word) and j < len(reading) and word[i] == reading[j] else []
-        steps += [(i + len(s), j + len(m), (*own, (m, s))) for m, s in CONFUSIONS if word.startswith(s, i) and reading.startswith(m, j)]
-        for a, b, way in steps:
+    while todo:  # by place in the word: every step goes on in both
+        i, j = heapq.heappop(todo)
+        n = best[i, j][0]
+        steps = [(i + 1, j + 1, n, None)] if i < len(word) and j < len(reading) and word[i] == reading[j] else []
+        steps += [(i + len(s), j + len(m), n + 1, (m, s)) for m, s in CONFUSIONS if word.startswith(s, i) and reading.startswith(m, j)]
+        for a, b, many, step in steps:
             if (a, b) not in best:
-                todo.append((a, b))
-                best[a, b] = way
-            elif len(way) < len(best[a, b]):
-                best[a, b] = way
-        todo.sort()
-    return best.get((len(word), len(reading)))
+                heapq.heappush(todo, (a, b))
+            elif many >= best[a, b][0]:
+                continue
+            best[a, b] = (many, (i, j), step)
+    at, out = (len(word), len(reading)), []
+    if at not in best:
+        return None
+    while at != (0, 0):
+        _, at, step = best[at]
+        if step:
+            out.append(step)
+    return tuple(reversed(out))
 
 
 def _is_mixed(word: str) -> bool:
