@@ -11,6 +11,10 @@ CHECKED = (
     "grouped_stats", "statistics_per_group", "first_per_group", "filter_like", "not_in_null_list", "join_full", "join_null_keys", "star_join", "not_in_subquery_null", "compound_left_deep", "recursive_union_cycle",
     "win_ntile_compat", "win_full_partition_agg", "fn_strings", "fn_math", "fn_cast", "fn_dates", "fn_json", "match_any", "knn_cosine", "knn_filtered", "sq8_roundtrip", "bm25_topk", "rrf_fusion", "graph_match",
     "graph_bfs_depth", "graph_triangles", "cypher_count", "lww_merge", "window_tumbling", "memory_prune",
+    "insert_returning", "insert_ignore", "insert_replace", "insert_upsert_where", "update_returning", "rollback_savepoint", "rollback_history", "cascade_delete", "delete_set_null", "update_cascade", "unique_violation",
+    "alter_columns", "pragma_table_info", "sql_dates", "sql_casts", "sql_json", "sql_strings", "sql_vectors", "sql_match", "explain_plan", "fts_match_rank", "collection_find", "collection_changes", "text_classify", "text_score",
+    "text_verify", "lake_hive_partitions", "lake_deep_glob", "csv_quoted_lines", "dump_copy", "copy_to_and_from", "read_in_statement", "graph_subgraph", "graph_has_edges", "graph_rag_filtered", "memory_recall_words",
+    "memory_search_indexed", "memory_purge", "memory_compare_and_set", "metadata_count",
 )
 
 
