@@ -72,6 +72,13 @@ def round_trip_xlsx(spark, sf_dir):
     return files.read_any(spark, path).select("n_nationkey", "n_name", "n_regionkey")
 
 
+@add("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def round_trip_ods(spark, sf_dir):
+    path = _one_file(spark) + ".ods"
+    foreign.write_ods(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, "suppliers")
+    return Session(spark).sql(f"SELECT * FROM read_excel('{path}', 'suppliers')")
+
+
 @add("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def read_sqlite(spark, sf_dir):
     import sqlite3

@@ -177,6 +177,16 @@ def explain_plan(spark, sf_dir):
     return plan.where("plan LIKE '%PushedFilters%EqualTo(o_orderkey%'").selectExpr("1 AS found").distinct()
 
 
+@add("SELECT 1 AS refused")
+def recursive_intersect_refused(spark, sf_dir):
+    s = _session(spark, sf_dir, "nation")
+    try:
+        s.sql("WITH RECURSIVE t(n) AS (SELECT n_nationkey FROM nation INTERSECT SELECT n + 1 FROM t) SELECT n FROM t")
+    except ValueError:
+        return spark.createDataFrame([(1,)], "refused int")
+    return spark.createDataFrame([(0,)], "refused int")
+
+
 _FTS = """
     WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_-]+'), lambda x: strlen(x) > 1) AS w FROM documents),
     a AS (SELECT count(*) AS n, greatest(1, avg(coalesce(len(w), 0))) AS avgdl FROM t),

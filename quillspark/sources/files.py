@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quillspark.sources.hadoop import FileSystem
 
 #: Formats by ending.
-ENDINGS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "tsv": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "xlsx": "xlsx", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "sql": "dump", "txt": "text", "text": "text", "md": "text", "markdown": "text"}
+ENDINGS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "tsv": "tsv", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "xlsx": "xlsx", "ods": "xlsx", "db": "sqlite", "sqlite": "sqlite", "sqlite3": "sqlite", "sql": "dump", "txt": "text", "text": "text", "md": "text", "markdown": "text"}
 _SEPARATORS = ",\t;|"
 
 

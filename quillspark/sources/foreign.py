@@ -125,6 +125,56 @@ def sheet_rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]
                 row.clear()
 
 
+_ODS = {"o": "urn:oasis:names:tc:opendocument:xmlns:office:1.0", "t": "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "x": "urn:oasis:names:tc:opendocument:xmlns:text:1.0"}
+
+
+def ods_rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
+    """The rows of a sheet of an OpenDocument spreadsheet (the first unless named), cells as text, null where empty; read as a stream."""
+    o, t, x = (f"{{{_ODS[k]}}}" for k in "otx")
+    inside = False
+    with zipfile.ZipFile(path) as z, z.open("content.xml") as f:
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if e.tag == f"{t}table":
+                if event == "end" and inside:
+                    return
+                inside = event == "start" and (sheet is None or e.get(f"{t}name") == sheet)
+            elif event == "end" and e.tag == f"{t}table-row" and inside:
+                row: list[str | None] = []
+                for c in e:
+                    kind, value = c.get(f"{o}value-type"), c.get(f"{o}value") or c.get(f"{o}date-value") or c.get(f"{o}boolean-value")
+                    text = "\n".join("".join(p.itertext()) for p in c.findall(f"{x}p"))
+                    cell = None if kind is None and not text else value if value is not None else text
+                    times = int(c.get(f"{t}number-columns-repeated") or 1)
+                    row += [cell] * (times if cell is not None else min(times, 16_384))
+                while row and row[-1] is None:
+                    row.pop()
+                for _ in range(int(e.get(f"{t}number-rows-repeated") or 1) if row else 1):
+                    yield list(row)
+                e.clear()
+
+
+def write_ods(df: DataFrame, path: str, sheet: str = "Sheet1", most: int = 1_048_575) -> int:
+    """An OpenDocument spreadsheet of one sheet, in the order of the table; the number of rows written. A table of more rows than a sheet has is refused."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a sheet holds at most {most} rows")
+
+    def cell(v) -> str:
+        if v is None or v != v:
+            return "<t:table-cell/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f'<t:table-cell o:value-type="float" o:value="{v}"/>'
+        return f'<t:table-cell o:value-type="string"><x:p>{_escape(str(v))}</x:p></t:table-cell>'
+
+    lines = ["<t:table-row>" + "".join(cell(v.item() if hasattr(v, "item") else v) for v in r) + "</t:table-row>" for r in [tuple(map(str, rows.columns)), *rows.itertuples(index=False)]]
+    names = " ".join(f'xmlns:{k}="{v}"' for k, v in _ODS.items())
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("mimetype", "application/vnd.oasis.opendocument.spreadsheet", zipfile.ZIP_STORED)
+        z.writestr("META-INF/manifest.xml", '<?xml version="1.0"?><m:manifest xmlns:m="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><m:file-entry m:full-path="/" m:media-type="application/vnd.oasis.opendocument.spreadsheet"/><m:file-entry m:full-path="content.xml" m:media-type="text/xml"/></m:manifest>')
+        z.writestr("content.xml", f'<?xml version="1.0"?><o:document-content {names}><o:body><o:spreadsheet><t:table t:name="{_escape(sheet)}">' + "".join(lines) + "</t:table></o:spreadsheet></o:body></o:document-content>")
+    return len(rows)
+
+
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """A sheet with a header row; blank rows are skipped; a column is integer or real if all its cells are.
 
@@ -132,7 +182,8 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     """
     from quillspark.sources.files import _typed
 
-    rows = (r for r in sheet_rows(path, sheet) if any(x is not None for x in r))
+    found = ods_rows(path, sheet) if path.lower().endswith(".ods") else sheet_rows(path, sheet)
+    rows = (r for r in found if any(x is not None for x in r))
     head = next(rows, None)
     if head is None:
         return spark.createDataFrame([], StructType([]))
