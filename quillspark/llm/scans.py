@@ -90,7 +90,7 @@ def running_heads(df: DataFrame) -> DataFrame:
     title = F.col("line").rlike(r"^[\W\d_]*\p{Lu}") & ~F.col("line").rlike(r"[.,;:]\s*$") & F.col("line").rlike(r"\p{L}{3}")
     lines = lines.where(title).select("chunk_id", "source", "i", _folded(F.col("line")).alias("fold")).where(F.length("fold") >= 5)
     often = lines.select("source", "fold", "chunk_id").distinct().groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAD_CHUNKS)
-    return lines.join(often.select("source", "fold"), ["source", "fold"], "left_semi").groupBy("chunk_id").agg(F.collect_set("i").alias("heads"))
+    return lines.hint("merge").join(often.select("source", "fold").hint("merge"), ["source", "fold"], "left_semi").groupBy("chunk_id").agg(F.collect_set("i").alias("heads"))
 
 
 def _words(content: Column) -> Column:
