@@ -219,18 +219,17 @@ def correct_line(words: list[str], options: list[list[str]], fixes: dict[str, li
         cost, n = next((x[1], x[2]) for x in rows if x[0] == r)
         return n / total, cost
 
-    def explained(i: int, r: str) -> bool:
-        """True for a written form whose count its readings explain."""
-        return r == words[i] and r in fixes and anywhere(i, r)[0] * total < 0.2
+    # chance, cost, and whether it is a written form whose count its readings explain
+    known = [{r: (*(x := anywhere(i, r)), r == words[i] and r in fixes and x[0] * total < 0.2) for r in opts} for i, opts in enumerate(options)]
 
     def score(i: int, a: str | None, b: str) -> float:
         """The logarithm of P(b | a), the pair's share of a's places smoothed by the chance of b anywhere, with the cost of b's confusions."""
-        chance, cost = anywhere(i, b)
+        chance, cost, explained = known[i][b]
         if a is None:
             return math.log(chance) + cost
         written = a == words[i - 1] and (a in fixes or words[i] in fixes)  # what stands here is no evidence for itself
         after = max(0, counts.get(f"{a} {b}", 0) - (written and b == words[i])) / max(1, counts.get(a, 0) - written)
-        if explained(i - 1, a) or explained(i, b):  # such a form has no neighbours of its own
+        if explained or known[i - 1][a][2]:  # such a form has no neighbours of its own
             after = 0.0
         return math.log(BIGRAM * min(1.0, after) + (1 - BIGRAM) * chance) + cost
 
