@@ -165,3 +165,14 @@ def test_interleaved_replies_are_linked_by_what_they_share(spark, monkeypatch):
     monkeypatch.setattr(conversations, "W_OVERLAP", 0.0)
     assert links() == {2: 1, 3: 1}  # by time alone
     assert not conversations.session_states(df).first().keep
+
+
+def test_scores_are_computed_only_where_they_decide(spark):
+    sessions = {"whole": "ur", "asked twice": "uu", "replied twice": "rr", "interleaved": "uurr", "open": "uru", "late question": "rur"}
+    rows = [(10 * n + i + 1, s, {"u": "human", "r": "ai"}[c], f"pump {i}", 100 + i, None, 1, 1) for n, (s, turns) in enumerate(sessions.items()) for i, c in enumerate(turns)]
+    df = spark.createDataFrame(rows, HISTORY)
+    scored = lambda out: "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString()
+    states, talk = conversations.session_states(df), conversations.conversations(df)
+    assert not scored(states) and not scored(talk) and scored(conversations.reply_links(conversations.exchanges(conversations.message_rows(df))))
+    assert {r.session_id: (r.keep, r.broken_exchanges) for r in states.collect()} == {s: (s == "whole", int(s != "whole")) for s in sessions}
+    assert sorted((r.session_id, r.id, r.parent_id or -1) for r in talk.collect()) == [("whole", 1, -1), ("whole", 2, 1)]
